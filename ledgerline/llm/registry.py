@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, tokens
+from . import packing, quality, secrets, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_quality_divergence": quality.op3_quality_divergence,
+        "op4_secret_grammars": secrets.op4_secret_grammars,
         "op7_bpe_forced_boundary": tokens.op7_bpe_forced_boundary,
         "op9_simhash_bk_tree": simhash.op9_simhash_bk_tree,
     }
