@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, simhash, tokens
+from . import packing, quality, secrets, simhash, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_quality_divergence": quality.op3_quality_divergence,
         "op4_secret_grammars": secrets.op4_secret_grammars,
+        "op5_warc_dictionary": warc.op5_warc_dictionary,
         "op7_bpe_forced_boundary": tokens.op7_bpe_forced_boundary,
         "op9_simhash_bk_tree": simhash.op9_simhash_bk_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_warc_dictionary": warc.ORACLE_SQL,
+    }
