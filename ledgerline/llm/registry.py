@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, simhash, tokens, warc
+from . import neighbours, packing, quality, secrets, sharding, simhash, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_grammars": secrets.op4_secret_grammars,
         "op5_warc_dictionary": warc.op5_warc_dictionary,
         "op7_bpe_forced_boundary": tokens.op7_bpe_forced_boundary,
+        "op8_collision_counting": neighbours.op8_collision_counting,
+        "op10_min_cost_flow_reshard": sharding.op10_min_cost_flow_reshard,
         "op9_simhash_bk_tree": simhash.op9_simhash_bk_tree,
     }
 
