@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neighbours, packing, quality, secrets, sharding, simhash, tokens, warc
+from . import edits, neighbours, packing, quality, secrets, sharding, simhash, tokens, tools, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_edit_aware_counts": edits.op1_edit_aware_counts,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_quality_divergence": quality.op3_quality_divergence,
         "op4_secret_grammars": secrets.op4_secret_grammars,
         "op5_warc_dictionary": warc.op5_warc_dictionary,
+        "op6_tool_call_linking": tools.op6_tool_call_linking,
         "op7_bpe_forced_boundary": tokens.op7_bpe_forced_boundary,
         "op8_collision_counting": neighbours.op8_collision_counting,
         "op10_min_cost_flow_reshard": sharding.op10_min_cost_flow_reshard,
