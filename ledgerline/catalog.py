@@ -12,8 +12,8 @@ from ledgerline.oracle.star import sql
 from ledgerline.plans.registry import QUERIES
 from ledgerline.sources import warehouse
 
-PLANS = ("customer", "revenue", "transaction", "service", "campaign", "value", "views")
-ORACLES = ("kpi",)
+PLANS = ("customer", "revenue", "transaction", "service", "campaign", "value", "views", "quality", "business")
+ORACLES = ("kpi", "checks")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
