@@ -35,6 +35,12 @@ EDITS = T.ArrayType(
         T.StructField("replacement", T.StringType()),
     ])
 )
+TREE = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("leaf_chars", "leaf_tokens")]
+ADDED = ("n_edits", "tokens_before", "tokens_after", "encoded_chars")
+NUMBERS = [T.StructField(c, T.LongType()) for c in ADDED]
+#: Rows that are worked on at once.
+SLICE_ROWS = 256
+_LEAVES = pa.list_(pa.int32())
 _ARROW_EDITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("replacement", pa.string())]))
 
 
@@ -110,32 +116,92 @@ class TokenTree:
                 self._set(leaf, "", 0)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches cut into parts of SLICE_ROWS rows; a batch without rows goes on as it is."""
+    for batch in batches:
+        for i in range(0, max(1, batch.num_rows), SLICE_ROWS):
+            yield batch.slice(i, SLICE_ROWS)
+
+
+def added(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
+    """batch with the columns of new, in place of its own of these names or after them."""
+    columns = dict(zip(batch.schema.names, batch.columns)) | new
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def tree_batches(batches: Iterator[pa.RecordBatch], text_col: str, path: str) -> Iterator[pa.RecordBatch]:
+    bpe = encoder(path)
+    for batch in slices(batches):
+        chars, tokens = [], []
+        for value in batch[text_col]:
+            words = leaves(value.as_py() or "")
+            data = [w.encode() for w in words]
+            ends = np.cumsum([len(b) for b in data])
+            tokens.append(np.array([len(x) // 4 for x in bpe.encode_block(b"".join(data), ends)], np.int32))
+            chars.append(np.array([len(w) for w in words], np.int32))
+        yield added(batch, {"leaf_chars": pa.array(chars, _LEAVES), "leaf_tokens": pa.array(tokens, _LEAVES)})
+
+
+def edit_batches(batches: Iterator[pa.RecordBatch], edits_col: str, text_col: str, path: str) -> Iterator[pa.RecordBatch]:
+    bpe = encoder(path)
+
+    def count(text: str) -> int:
+        data = text.encode()
+        return len(bpe.encode_block(data, np.array([len(data)]))[0]) // 4
+
+    for batch in slices(batches):
+        texts, chars, tokens, numbers = [], [], [], []
+        for text, sizes, counts, edits in zip(*(batch[c] for c in (text_col, "leaf_chars", "leaf_tokens", edits_col))):
+            edits = [e for e in edits.as_py() or () if e and e["start"] is not None]
+            size, before = (
+                x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(1, np.int32) for x in (sizes, counts)
+            )
+            if not edits:
+                texts.append(text.as_py()), chars.append(size), tokens.append(before)
+                numbers.append((0, int(before.sum()), int(before.sum()), 0))
+                continue
+            ends = list(accumulate(size.tolist()))
+            whole = text.as_py() or ""
+            tree = TokenTree([whole[a:b] for a, b in zip([0, *ends], ends)], before, count)
+            for e in edits:
+                tree.edit(e["start"], e["start"] if e["end"] is None else e["end"], e["replacement"] or "")
+            texts.append(tree.text())
+            kept = [(len(w), t) for w, t in zip(tree.words, tree.tokens[tree.size :].tolist()) if w] or [(0, 0)]
+            chars.append(np.array([c for c, _ in kept], np.int32))
+            tokens.append(np.array([t for _, t in kept], np.int32))
+            numbers.append((len(edits), int(before.sum()), tree.total, tree.encoded_chars))
+        new = {text_col: pa.array(texts, pa.string())}
+        new |= {"leaf_chars": pa.array(chars, _LEAVES), "leaf_tokens": pa.array(tokens, _LEAVES)}
+        yield added(batch, new | {c: pa.array([x[i] for x in numbers], pa.int64()) for i, c in enumerate(ADDED)})
+
+
+def mask_batches(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    def of(text: str) -> list[dict]:
+        spans: list[tuple[int, int, str]] = []
+        for pattern, replacement in MASKS:
+            for m in pattern.finditer(text):
+                if all(m.end() <= a or b <= m.start() for a, b, _ in spans):
+                    spans.append((*m.span(), replacement))
+        return [{"start": a, "end": b, "replacement": r} for a, b, r in sorted(spans, reverse=True)]
+
+    for batch in slices(batches):
+        yield added(batch, {"edits": pa.array([of(t.as_py() or "") for t in batch[text_col]], _ARROW_EDITS)})
+
+
+def _extended(docs: DataFrame, *fields: T.StructField) -> tuple[DataFrame, T.StructType]:
+    """docs without columns of the fields' names, and its schema with the fields."""
+    docs = docs.drop(*(f.name for f in fields))
+    return docs, T.StructType([*docs.schema.fields, *fields])
+
+
 def token_trees(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """docs with leaf_chars and leaf_tokens, the leaves of every text's tree; columns of these names are replaced.
 
     A null text counts as empty; an empty text has one empty leaf. This is the one time that a text is encoded whole.
     """
-    docs = docs.drop("leaf_chars", "leaf_tokens")
-    path, at = vocabulary or default_vocabulary(), docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for batch in batches:
-            chars, tokens = [], []
-            for value in batch.column(at):
-                words = leaves(value.as_py() or "")
-                data = [w.encode() for w in words]
-                ends = np.cumsum([len(b) for b in data])
-                tokens.append([len(x) // 4 for x in bpe.encode_block(b"".join(data), ends)])
-                chars.append([len(w) for w in words])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(x, pa.list_(pa.int32())) for x in (chars, tokens))],
-                names=[*batch.schema.names, "leaf_chars", "leaf_tokens"],
-            )
-
-    leaf = T.ArrayType(T.IntegerType())
-    schema = T.StructType([*docs.schema.fields, T.StructField("leaf_chars", leaf), T.StructField("leaf_tokens", leaf)])
-    return docs.mapInArrow(run, schema)
+    path = vocabulary or default_vocabulary()
+    docs, schema = _extended(docs, *TREE)
+    return docs.mapInArrow(lambda batches: tree_batches(batches, text_col, path), schema)
 
 
 def apply_edits(
@@ -146,86 +212,34 @@ def apply_edits(
     Adds n_edits, tokens_before, tokens_after and encoded_chars (characters that were encoded again). edits_col: array
     of (start, end, replacement), applied in order; places are code points of the text as the edits before left it,
     clipped to it; a null edit or start changes nothing, a null end is the start, a null replacement is empty. Null
-    texts count as empty and come back as empty if there are edits. Other columns stay.
+    texts count as empty and come back as empty if there are edits. Other columns stay, as do rows that repeat; an
+    empty table gives an empty table.
     """
-    added = ["n_edits", "tokens_before", "tokens_after", "encoded_chars"]
-    trees = trees.drop(*added)
     path = vocabulary or default_vocabulary()
-    names = trees.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-
-        def count(text: str) -> int:
-            data = text.encode()
-            return len(bpe.encode_block(data, np.array([len(data)]))[0]) // 4
-
-        for batch in batches:
-            column = dict(zip(names, batch.columns))
-            texts, chars, tokens, numbers = [], [], [], []
-            for text, sizes, counts, edits in zip(*(column[c] for c in (text_col, "leaf_chars", "leaf_tokens", edits_col))):
-                edits = [e for e in edits.as_py() or () if e and e["start"] is not None]
-                before = counts.values.to_numpy(zero_copy_only=False) if counts.is_valid else np.zeros(1, np.int64)
-                if not edits:
-                    texts.append(text.as_py()), chars.append(sizes), tokens.append(counts)
-                    numbers.append((0, before.sum(), before.sum(), 0))
-                    continue
-                ends = list(accumulate(sizes.as_py()))
-                whole = text.as_py() or ""
-                words = [whole[a:b] for a, b in zip([0, *ends], ends)]
-                tree = TokenTree(words, before, count)
-                for e in edits:
-                    tree.edit(e["start"], e["start"] if e["end"] is None else e["end"], e["replacement"] or "")
-                kept = [(len(w), t) for w, t in zip(tree.words, tree.tokens[tree.size :].tolist()) if w] or [(0, 0)]
-                texts.append(tree.text())
-                chars.append([c for c, _ in kept]), tokens.append([t for _, t in kept])
-                numbers.append((len(edits), before.sum(), tree.total, tree.encoded_chars))
-            new = {text_col: pa.array(texts, pa.string())}
-            new |= {c: pa.array([_plain(x) for x in v], pa.list_(pa.int32())) for c, v in (("leaf_chars", chars), ("leaf_tokens", tokens))}
-            yield pa.RecordBatch.from_arrays(
-                [*(new.get(c, column[c]) for c in names), *(pa.array(x, pa.int64()) for x in zip(*numbers))],
-                names=[*names, *added],
-            ) if numbers else pa.RecordBatch.from_pylist([], schema=_with(batch.schema, added))
-
-    schema = T.StructType([*trees.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
-    return trees.mapInArrow(run, schema)
-
-
-def _plain(x: list[int] | pa.Scalar) -> list[int] | None:
-    return x.as_py() if isinstance(x, pa.Scalar) else x
-
-
-def _with(schema: pa.Schema, added: list[str]) -> pa.Schema:
-    for name in added:
-        schema = schema.append(pa.field(name, pa.int64()))
-    return schema
+    trees, schema = _extended(trees, *NUMBERS)
+    return trees.mapInArrow(lambda batches: edit_batches(batches, edits_col, text_col, path), schema)
 
 
 def mask_edits(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with edits that replace addresses and long numbers, last first, so that each place holds when its turn
     comes. A match that lies in an earlier mask's match is left out."""
-    docs = docs.drop("edits")
-    at = docs.columns.index(text_col)
+    docs, schema = _extended(docs, T.StructField("edits", EDITS))
+    return docs.mapInArrow(lambda batches: mask_batches(batches, text_col), schema)
 
-    def of(text: str) -> list[dict]:
-        spans: list[tuple[int, int, str]] = []
-        for pattern, replacement in MASKS:
-            for m in pattern.finditer(text):
-                if all(m.end() <= a or b <= m.start() for a, b, _ in spans):
-                    spans.append((*m.span(), replacement))
-        return [{"start": a, "end": b, "replacement": r} for a, b, r in sorted(spans, reverse=True)]
+
+def masked_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """apply_edits(token_trees(mask_edits(docs))) in one pass, so that a task has one Python worker."""
+    path = vocabulary or default_vocabulary()
+    docs, schema = _extended(docs, T.StructField("edits", EDITS), *TREE, *NUMBERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            edits = pa.array([of(t.as_py() or "") for t in batch.column(at)], _ARROW_EDITS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, edits], names=[*batch.schema.names, "edits"])
+        return edit_batches(tree_batches(mask_batches(batches, text_col), text_col, path), "edits", text_col, path)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("edits", EDITS)]))
+    return docs.mapInArrow(run, schema)
 
 
 def op1_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = apply_edits(token_trees(mask_edits(docs)))
+    counted = masked_counts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return counted.select(
         "doc_id", "n_edits", "tokens_before", "tokens_after", "encoded_chars",
         F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("chars_after"),
