@@ -114,22 +114,21 @@ def depths(calls: DataFrame) -> DataFrame:
     An `after` that names no call counts as none. Calls on or behind a cycle get a null depth.
     """
     nodes = calls.select("call_id", "after").where("call_id is not null")
-    known = nodes.select(F.col("call_id").alias("after")).distinct()
-    now = materialise(
-        nodes.join(known.withColumn("there", F.lit(True)), "after", "left")
-        .select("call_id", F.when(F.col("there"), F.col("after")).alias("up"))
-        .withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")),
-        "depths",
+    known = nodes.select(F.col("call_id").alias("after"), F.lit(True).alias("there"))
+    up = nodes.where("after is not null").join(known, "after", "left").select(
+        "call_id", F.when(F.col("there"), F.col("after")).alias("up")
     )
+    none = nodes.where("after is null").select("call_id", F.col("after").alias("up"))
+    found = up.unionByName(none)
+    now = materialise(found.withColumn("depth", F.col("up").isNotNull().cast("long")), "depths")
     limit, rounds = math.ceil(math.log2(max(2, now.count()))) + 1, 0
     while rounds < min(limit, MAX_ROUNDS) and not now.where("up is not null").isEmpty():
+        # Calls that have reached a first call are done and take no part in the join, where their nulls would meet.
         above = now.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        now = materialise(
-            now.join(above, "up", "left").select(
-                "call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
-            ),
-            "depths",
+        moved = now.where("up is not null").join(above, "up").select(
+            "call_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")
         )
+        now = materialise(now.where("up is null").select("call_id", "up", "depth").unionByName(moved), "depths")
         rounds += 1
     return now.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
