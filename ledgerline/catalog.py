@@ -12,7 +12,7 @@ from ledgerline.oracle.star import sql
 from ledgerline.plans.registry import QUERIES
 from ledgerline.sources import warehouse
 
-PLANS = ("customer", "revenue", "transaction", "service", "campaign", "value", "views", "quality", "business")
+PLANS = ("customer", "revenue", "transaction", "service", "campaign", "value", "views", "quality", "business", "derived", "models")
 ORACLES = ("kpi", "checks")
 
 
