@@ -13,7 +13,7 @@ from ledgerline.plans.registry import QUERIES
 from ledgerline.sources import warehouse
 
 PLANS = ("customer", "revenue", "transaction", "service", "campaign", "value", "views", "quality", "business", "derived", "models")
-ORACLES = ("kpi", "checks")
+ORACLES = ("kpi", "checks", "derived")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

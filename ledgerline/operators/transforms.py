@@ -102,7 +102,7 @@ def allocate_total(rows: DataFrame, group: str, weight: str, total: str, order:
     """rows with name: their part of the group's total in proportion to weight, in cents, such that a group's parts
     sum to its total exactly; the last row by order takes the residue. order must be unique within a group."""
     every = Window.partitionBy(group)
-    scale = ratio(F.col(total), F.sum(F.col(weight).cast("double")).over(every))
+    scale = ratio(F.col(total), F.sum(weight).over(every))
     part = rounded(F.col(weight).cast("double") * scale, 2).cast("decimal(15,2)")
     last = F.row_number().over(every.orderBy(*(F.col(c).desc() for c in order))) == 1
     rows = rows.withColumn("__part", part).withColumn("__last", last)

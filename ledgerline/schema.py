@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 
+KINDS = {
+    "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(),
+    "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType(),
+}
+
+
 def struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """The type that "name type, name type" says; needs no session, unlike DDL strings."""
+    fields = []
+    for field in re.split(r",(?![0-9])", text):
+        name, kind = field.split()
+        digits = re.fullmatch(r"decimal\((\d+),(\d+)\)", kind)
+        fields.append(T.StructField(name, T.DecimalType(*map(int, digits.groups())) if digits else KINDS[kind]))
+    return T.StructType(fields)
 
 
 DIM_DATE = struct(
