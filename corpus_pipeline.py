@@ -22,16 +22,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near-duplicates stays: that with the smallest doc_id.
 
     Of rows that repeat with id and text, one stays. Rows that share an id but not the text all stay if their id
-    does. Where no document of a group has an id, all distinct texts of it stay.
+    does. Documents without id stay, one for each text, where no document of their group has an id.
     """
     # A struct is never null, so a null id is an id like others in the join.
-    key = F.struct("doc_id").alias("__id")
-    marked = simhash.near_duplicates(docs)
-    stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    order = Window.partitionBy("__id", "text").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0))
+    key = F.struct("doc_id", F.xxhash64("text").alias("text")).alias("__key")
+    marked = simhash.near_duplicates(docs.select("doc_id", "text", key), carried=("__key",))
+    stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__key").distinct()
+    order = Window.partitionBy("__key").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0))
     return (
         docs.select("*", key)
-        .join(stay, "__id", "left_semi")
+        .join(stay, "__key", "left_semi")
         .withColumn("__n", F.row_number().over(order))
         .where("__n = 1")
         .select(*docs.columns)

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, read_table
 from .components import connected_components
@@ -73,18 +74,21 @@ def simhash(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * ones > total))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """id_col and fp (the fingerprint as a signed long) of every row; a null text counts as empty. No shuffle."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, carried: tuple[str, ...] = ()
+) -> DataFrame:
+    """id_col, carried columns and fp (the fingerprint as a signed long) of every row; a null text counts as empty.
+    No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([simhash(t.as_py(), shingle) for t in batch.column(text_col)], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(values.view(np.int64))], names=[id_col, "fp"]
-            )
+            kept = [batch.column(c) for c in (id_col, *carried)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(values.view(np.int64))], names=[id_col, *carried, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    fields = [docs.schema[c] for c in (id_col, *carried)]
+    schema = T.StructType([*fields, T.StructField("fp", T.LongType())])
+    return docs.select(id_col, text_col, *carried).mapInArrow(run, schema)
 
 
 def shard_masks(n: float, radius: int) -> list[int]:
@@ -242,14 +246,15 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = SHINGLE_WORDS,
     radius: int = RADIUS,
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
-    """id_col, fp and component_id of every row of docs: the smallest id reachable over links of at most radius bits.
+    """id_col, carried columns, fp and component_id of every row of docs: the smallest id reachable over links of at most radius bits.
 
     Equal fingerprints are one node, so a group of copies of any size costs one. Null texts count as empty; texts
     without a word have fingerprint 0 and are linked like any other. A null id never names a component unless all
     ids of it are null. Rows that repeat are all returned; an empty table gives an empty table.
     """
-    marked = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    marked = materialise(fingerprints(docs, id_col, text_col, shingle, carried), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")), "nodes")
     joined = connected_components(links(nodes.select("fp"), radius))
     rooted = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -258,7 +263,7 @@ def near_duplicates(
     # Only fingerprints with links need their root's smallest id; it is joined back through the nodes.
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    return marked.join(named, "fp").select(id_col, *carried, "fp", "component_id")
 
 
 def op9_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,10 +32,12 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 #: Smaller payloads are always stored.
 MIN_REVISIT_BYTES = 100
-#: Sample that a dictionary is trained on, at most, and the dictionary's size.
+#: Sample that a dictionary is trained on, at most, and the dictionary's largest and least size.
 SAMPLE_RECORDS = 512
 SAMPLE_BYTES = 4 << 20
-DICTIONARY_BYTES = 64 << 10
+DICTIONARY_BYTES, LEAST_BYTES = 64 << 10, 1 << 10
+#: Lengths of the pieces that a dictionary is put together from; the shorter one serves small samples.
+SEGMENTS = (256, 64)
 LEVEL = 3
 #: A task starts a new archive when one has so many bytes.
 ARCHIVE_BYTES = 1 << 30
@@ -85,11 +87,15 @@ def train(sample: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     """A dictionary for records like those of sample; None if they are too few or too short for one."""
     if len(sample) < 8:
         return None
-    size = min(DICTIONARY_BYTES, sum(map(len, sample)) // 8)
-    try:
-        return zstandard.train_dictionary(max(size, 1024), sample, k=256, d=8)
-    except zstandard.ZstdError:
-        return None
+    size = max(LEAST_BYTES, min(DICTIONARY_BYTES, sum(map(len, sample)) // 8))
+    while size >= LEAST_BYTES:  # records that repeat much fill small dictionaries only
+        for segment in SEGMENTS:
+            try:
+                return zstandard.train_dictionary(size, sample, k=segment, d=8)
+            except zstandard.ZstdError:
+                continue
+        size //= 4
+    return None
 
 
 class Archive:
