@@ -104,7 +104,7 @@ class Archive:
     def __init__(self, folder: str, name: str, dictionary: zstandard.ZstdCompressionDict | None):
         files, path = pa.fs.FileSystem.from_uri(folder)
         files.create_dir(path, recursive=True)
-        self.uri, self.out, self.size = f"{folder}/{name}", files.open_output_stream(f"{path}/{name}"), 0
+        self.uri, self.out, self.size = f"{folder}/{name}", files.open_output_stream(f"{path}/{name}", compression=None), 0
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
         if dictionary is not None:
             content = dictionary.as_bytes()
@@ -125,7 +125,7 @@ class Archive:
 def records(uri: str) -> Iterator[bytes]:
     """The records of an archive, one at a time; frames end where the compressed stream says so."""
     files, path = pa.fs.FileSystem.from_uri(uri)
-    with files.open_input_stream(path) as source:
+    with files.open_input_stream(path, compression=None) as source:
         dictionary, held = None, source.read(8)
         if len(held) == 8 and struct.unpack("<I", held[:4])[0] == DICTIONARY_FRAME:
             content = source.read(struct.unpack("<I", held[4:])[0])
