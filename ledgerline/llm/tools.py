@@ -52,7 +52,12 @@ def faults(value: object, schema: dict, at: str = "$") -> list[str]:
     maxLength, minimum and maximum are looked at."""
     kinds = schema.get("type", list(_TYPES))
     kinds = [kinds] if isinstance(kinds, str) else kinds
-    is_a = lambda kind: isinstance(value, _TYPES[kind]) and (kind == "boolean" or not isinstance(value, bool))
+
+    def is_a(kind: str) -> bool:
+        if kind == "integer" and isinstance(value, float):
+            return value.is_integer()
+        return isinstance(value, _TYPES[kind]) and (kind == "boolean" or not isinstance(value, bool))
+
     if not any(map(is_a, kinds)):
         return [f"{at}: no {' or '.join(kinds)}"]
     found = []
