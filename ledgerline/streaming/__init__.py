@@ -1 +1 @@
-
+"""Place for streaming jobs; all present analytics are batch jobs."""
