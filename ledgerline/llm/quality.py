@@ -225,4 +225,63 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    """The distances are rounded half up to six digits, beyond the order in which they are summed up."""
+    found = quality(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    six = {c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6 for c in ("class_distance", "word_distance")}
+    return found.withColumns(six)
+
+
+def oracle_sql() -> str:
+    """The query in SQL, with windows and words unnested instead of worked on within the row."""
+    half = lambda p, q: f"(CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END)"
+    count = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
+    quoted = lambda pattern: pattern.replace("'", "''")
+    known = {name: share for name, (pattern, share) in CLASSES.items() if pattern}
+    counts = ", ".join(f"{count(quoted(CLASSES[name][0]))} AS c_{name}" for name in known)
+    shares = {name: f"(c_{name} / CAST(n_chars AS DOUBLE))" for name in known}
+    shares["other"] = f"((n_chars - {' - '.join(f'c_{name}' for name in known)}) / CAST(n_chars AS DOUBLE))"
+    d = lambda x: f"CAST({x} AS DOUBLE)"
+    classes = " + ".join(half(p, d(CLASSES[n][1])) + " + " + half(d(CLASSES[n][1]), p) for n, p in shares.items())
+    references = ", ".join(
+        f"('{language}', '{word}', {d(repr(q))})" for language in COMMON_WORDS for word, q in word_reference(language).items()
+    )
+    rest = "(1 - sum(p)), (1 - sum(q))"
+    a, b = rest.split(", ")
+    six = lambda x: f"floor(({x}) * 1e6 + 0.5) / 1e6"
+    return f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+part AS (
+  SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM doc),
+word AS (
+  SELECT rid, len(words) AS n, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM part),
+win AS (
+  SELECT rid, i, w, lead(w) OVER (PARTITION BY rid ORDER BY i) AS w2, lead(w, 2) OVER (PARTITION BY rid ORDER BY i) AS w3
+  FROM word),
+rep AS (
+  SELECT rid, i FROM win WHERE w3 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, w, w2, w3) > 1),
+cov AS (SELECT rid, count(DISTINCT i + j) AS n_repeat FROM rep, (VALUES (0), (1), (2)) v(j) GROUP BY 1),
+ref AS (SELECT * FROM (VALUES {references}) r(lang, w, q)),
+seen AS (SELECT rid, w, count(*) AS n FROM word WHERE w IN (SELECT w FROM ref) GROUP BY 1, 2),
+share AS (
+  SELECT part.rid, lang, q, coalesce(n, 0) / CAST(len(words) AS DOUBLE) AS p
+  FROM part CROSS JOIN ref LEFT JOIN seen ON seen.rid = part.rid AND seen.w = ref.w
+  WHERE len(words) >= {MIN_COMMON_WORDS}),
+lang_distance AS (
+  SELECT rid, sqrt(greatest(0, (sum({half('p', 'q')} + {half('q', 'p')}) + {half(a, b)} + {half(b, a)}) / 2)) AS x
+  FROM share GROUP BY rid, lang),
+nearest AS (SELECT rid, min(x) AS word_x FROM lang_distance GROUP BY 1),
+cls AS (SELECT rid, length(t) AS n_chars, {counts} FROM doc),
+found AS (
+  SELECT part.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    {count(quoted(SYMBOLS))} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat, 0) AS n_repeat_words,
+    CASE WHEN n_chars >= {MIN_CLASS_CHARS} THEN sqrt(greatest(0, ({classes}) / 2)) END AS class_x, word_x
+  FROM part JOIN cls USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN nearest USING (rid)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM found)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {six('class_x')} AS class_distance,
+  {six('word_x')} AS word_distance, base_failed,
+  NOT base_failed AND coalesce(class_x, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(word_x, 0) <= {MAX_WORD_DISTANCE} AS kept
+FROM judged
+"""

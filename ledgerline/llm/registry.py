@@ -26,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_quality_divergence": quality.oracle_sql(),
         "op5_warc_dictionary": warc.ORACLE_SQL,
     }
