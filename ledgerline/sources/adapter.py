@@ -120,7 +120,7 @@ def dim_customer(spark: SparkSession, sf_dir: str, transactions: DataFrame) -> D
     base = (
         _read(spark, sf_dir, "customer")
         .select(F.col("c_custkey").alias("customer_id"), "c_name", "c_nationkey", "c_acctbal", F.col("c_mktsegment").alias("income_bracket"))
-        .join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(place, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(by_order, "customer_id", "left").join(channel, "customer_id", "left")
         .join(by_txn, "customer_id", "left").join(contacts, "customer_id", "left")
     )
