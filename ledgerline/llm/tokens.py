@@ -14,6 +14,8 @@ from .common import read_table
 
 #: Rows leave a task in batches of about this many bytes.
 OUT_BYTES = 8 << 20
+#: Rows that a round trip works on at once.
+SLICE_ROWS = 256
 
 
 def with_column(batch: pa.RecordBatch, drop: str, name: str, values: list, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -64,12 +66,33 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "text", voc
     return encoded.mapInArrow(run, schema)
 
 
+def round_trip(
+    docs: DataFrame, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", vocabulary: str | None = None
+) -> DataFrame:
+    """docs without text_col and with ids_col as of encode and decoded_col as of decode, in one pass, so that a task
+    has one Python worker. Defined as these two are."""
+    path = vocabulary or default_vocabulary()
+    kept = [f for f in docs.schema if f.name not in (text_col, ids_col, decoded_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(path)
+        for whole in batches:
+            for i in range(0, max(1, whole.num_rows), SLICE_ROWS):
+                batch = whole.slice(i, SLICE_ROWS)
+                ids = list(bpe.encode_array(batch[text_col]))
+                new = [pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch[f.name] for f in kept), *new], names=[*(f.name for f in kept), ids_col, decoded_col]
+                )
+
+    new = [T.StructField(ids_col, T.BinaryType()), T.StructField(decoded_col, T.StringType())]
+    return docs.mapInArrow(run, T.StructType([*kept, *new]))
+
+
 def op7_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode(docs).select(
+    return round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
-    return decode(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))

@@ -45,6 +45,9 @@ def test_encode_and_decode(spark, edge_docs):
     back = tokens.decode(coded).toPandas()
     assert sorted(back["text"]) == sorted(t or "" for t in rows["text"])
     assert tokens.encode(edge_docs.limit(0)).count() == 0
+    both = tokens.round_trip(edge_docs).toPandas()
+    assert sorted(map(bytes, both["ids"])) == got and sorted(both["decoded"]) == sorted(back["text"])
+    assert tokens.round_trip(edge_docs.limit(0)).count() == 0
 
 
 @settings(max_examples=150, deadline=None)
