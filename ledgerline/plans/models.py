@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import mean, n, pct, rounded, share_of_total
+from ledgerline.functions.columns import n, rounded, share_of_total
 from ledgerline.ml import churn, segmentation
 from ledgerline.plans.business import row
 from ledgerline.plans.campaign import conversion
@@ -164,5 +164,3 @@ def act_segment_conversion(s: Star) -> DataFrame:
     mine = fitted(s).segments.select("customer_id", "behavioral_segment")
     return s.fact_campaign_responses.join(mine, "customer_id").groupBy("behavioral_segment").agg(n().alias("targeted"), conversion())
 
-
-__all__ = ["mean", "pct"]

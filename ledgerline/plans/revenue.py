@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import avg, growth, n, pct, ratio, rounded, share_of_total, total
+from ledgerline.functions.columns import avg, growth, n, ratio, rounded, share_of_total
 from ledgerline.functions.ranking import with_tile
 from ledgerline.plans.registry import query
 from ledgerline.sources.warehouse import Star
@@ -148,5 +148,3 @@ def rev_pareto(s: Star) -> DataFrame:
         .drop("exact")
     )
 
-
-__all__ = ["dated", "of_facts", "of_profile", "pct", "per_customer", "total"]

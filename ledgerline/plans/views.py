@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import (
-    active, age_band, avg, churn_pct, churned, growth, mean, n, pct, ratio, rounded, total,
+    active, age_band, avg, churn_pct, churned, n, ratio, rounded, total,
 )
 from ledgerline.plans.campaign import conversion, steps
 from ledgerline.plans.registry import query
@@ -202,5 +202,3 @@ def act_final6m_resolution(s: Star) -> DataFrame:
         n().alias("complaints"), avg("resolution_time_hours", 1).alias("avg_hours")
     )
 
-
-__all__ = ["growth", "hourly", "mean", "pct"]
