@@ -28,6 +28,8 @@ from .common import materialise, partitions, read_table, salt
 SEQUENCE_TOKENS = 1024
 #: Id that ends a document.
 END_ID = 2
+#: Parts of a length for each shuffle partition; more parts spread a length that holds most tokens more evenly.
+PARTS_PER_TASK = 8
 
 
 class Interval(NamedTuple):
@@ -90,7 +92,7 @@ def ranked(pieces: DataFrame, length_col: str, key_cols: list[str], rank_col: st
     A length may hold most rows, so its rows are counted in salted parts and the parts' sizes summed up.
     """
     spark = pieces.sparkSession
-    parts = max(64, partitions(spark))
+    parts = PARTS_PER_TASK * max(16, partitions(spark))
     salted = pieces.withColumn("__part", salt(parts, *key_cols))
     sizes = salted.groupBy(length_col, "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(length_col).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
