@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +40,14 @@ def load(spark: SparkSession, sf_dir: str) -> Star:
     if key not in _loaded:
         folder = f"{shared_dir(spark)}/warehouse-{uuid.uuid4().hex}"
         lazy = adapter.star_tables(spark, sf_dir)
-        tables = {}
-        for name in schema.TABLES:
-            if name != "dim_customer":
-                lazy[name].write.parquet(f"{folder}/{name}")
-                tables[name] = spark.read.schema(schema.TABLES[name]).parquet(f"{folder}/{name}")
+
+        def store(name: str) -> DataFrame:
+            lazy[name].write.parquet(f"{folder}/{name}")
+            return spark.read.schema(schema.TABLES[name]).parquet(f"{folder}/{name}")
+
+        names = [name for name in schema.TABLES if name != "dim_customer"]
+        with ThreadPoolExecutor(len(names)) as pool:  # the jobs do not depend on each other
+            tables = dict(zip(names, pool.map(store, names)))
         customers = adapter.dim_customer(spark, sf_dir, tables["fact_transactions"])
         customers.write.parquet(f"{folder}/dim_customer")
         tables["dim_customer"] = spark.read.schema(schema.DIM_CUSTOMER).parquet(f"{folder}/dim_customer")
