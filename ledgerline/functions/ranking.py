@@ -55,7 +55,9 @@ def with_tile(df: DataFrame, order: list[Column], tiles: int, name: str) -> Data
 
 def with_percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with the average-tie percentile rank of value: (first place + (ties - 1) / 2) / rows; null for nulls."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialise(
+        df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")), "counts"
+    )
     placed = with_position_weighted(counts, value)
     rows = counts.agg(F.sum("__n").alias("__rows"))
     ranks = placed.crossJoin(F.broadcast(rows)).select(

@@ -13,6 +13,7 @@ from ledgerline import schema
 from ledgerline.functions.columns import n, ratio, rounded
 from ledgerline.operators.calendar import date_key, dim_date
 from ledgerline.operators.transforms import card_tier, flag_high_value, mapped, risk_category
+from ledgerline.sources.storage import materialise
 
 #: The day that ages count up to: sales, and events.
 AS_OF = "2001-11-04"
@@ -146,7 +147,7 @@ def dim_customer(spark: SparkSession, sf_dir: str, transactions: DataFrame) -> D
         F.coalesce("total_trans_ct_12m", F.lit(0)).alias("total_trans_ct_12m"),
         "amt_change_q4_q1", "ct_change_q4_q1", "preferred_channel",
     )
-    tiered = card_tier(rows, mapped("income_bracket", INCOME_SCORE, 1))
+    tiered = card_tier(materialise(rows, "customers"), mapped("income_bracket", INCOME_SCORE, 1))
     return conform(tiered.withColumn("risk_category", risk_category()), "dim_customer")
 
 
