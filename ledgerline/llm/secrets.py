@@ -3,7 +3,8 @@
 Base patterns find assignments, access keys and long hexadecimal strings. What they find are labelled credentials: a
 bounded sample of each kind becomes a prefix tree, whose statistically compatible states are merged (Hoeffding test)
 into a probabilistic automaton. Every other long run of credential characters in every text is a candidate; it is
-scored by its likelihood under the automata against that under a model of ordinary runs, and likely ones are added.
+scored by its likelihood under the automata against that under a model of ordinary words, and likely ones are added.
+That model counts all words of all texts but the runs that are judged themselves: keys would teach it their own alphabet.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,15 +37,20 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 #: What an assignment's name begins with, in lower case; a text without these has no assignment.
 NAME_STARTS = ("passw", "secret", "token", "api")
 
-#: Sample of labelled credentials per kind and of ordinary runs that the models are fitted on, and the longest
-#: string in it. The sample is the strings with the smallest hashes.
+#: Sample of labelled credentials per kind that the automata are fitted on, and the longest string in it. The sample
+#: is the strings with the smallest hashes.
 SAMPLE = 512
 SAMPLE_CHARS = 256
 #: Significance of the test that keeps two states apart.
 ALPHA = 0.05
-#: Bits per character by which a candidate must be likelier as a credential than as an ordinary run.
+#: Bits per character by which a candidate must be likelier as a credential than as an ordinary word.
 MARGIN = 1.0
 
+#: Character classes of words, numbered from 1 on, and the number of each byte; bytes outside words have 0.
+SYMBOLS = "0fzA+/_.=-"
+#: Bytes whose classes are counted at once.
+COUNT_BYTES = 1 << 20
+
 
 class Span(NamedTuple):
     kind: str
@@ -62,6 +69,9 @@ def symbol(c: str) -> str:
     return "A" if "A" <= c <= "Z" else c
 
 
+CLASS = bytes(SYMBOLS.find(symbol(chr(b))) + 1 if b < 128 else 0 for b in range(256))
+
+
 class Automaton:
     """Probabilistic automaton: step[state][symbol] = (state, log2 probability), stop[state] = log2 probability."""
 
@@ -153,7 +163,7 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton | None:
 
 
 class Ordinary:
-    """How likely a run is as ordinary text: class bigrams with one added to each count."""
+    """How likely a run is as ordinary text: class bigrams of words with one added to each count."""
 
     def __init__(self, words: list[str]):
         count: dict[tuple[str, str], int] = defaultdict(int)
@@ -166,6 +176,16 @@ class Ordinary:
                 before = c
         self.count, self.total = dict(count), dict(total)
 
+    @classmethod
+    def of_counts(cls, pairs: dict[str, int]) -> Ordinary:
+        """From the counts of pairs of classes; a single class begins a word."""
+        model = cls([])
+        for pair, n in pairs.items():
+            before, c = pair[:-1], pair[-1]
+            model.count[before, c] = n
+            model.total[before] = model.total.get(before, 0) + n
+        return model
+
     def bits(self, word: str) -> float:
         sum_, before = 0.0, ""
         for c in map(symbol, word):
@@ -214,34 +234,60 @@ def find(text: str, model: Model) -> list[Span]:
     return sorted(spans + added, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
+def word_pairs(text: str, spans: list[Span]) -> np.ndarray:
+    """How often class b follows class a in the words of text, at 16 * a + b; a word is a run of credential characters
+    outside the base spans that is too short to be a candidate."""
+    rest = RUN.sub(lambda m: " " * len(m[0]), text)
+    if spans:
+        parts, done = [], 0
+        for s in spans:
+            parts.append(rest[done : s.start])
+            done = max(done, s.end)
+        rest = " ".join([*parts, rest[done:]])
+    data = b"\0" + rest.encode(errors="replace").translate(CLASS)
+    counts = np.zeros(256, np.int64)
+    for at in range(0, len(data) - 1, COUNT_BYTES):
+        part = np.frombuffer(data[at : at + COUNT_BYTES + 1], np.uint8)
+        counts += np.bincount(part[:-1] * 16 + part[1:], minlength=256)
+    return counts
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """The automata of all kinds of credentials in docs, from a sample of SAMPLE distinct strings of each kind.
+    """The automata of all kinds of credentials in docs, from a sample of SAMPLE distinct strings of each kind, and the
+    model of ordinary words, from all words of docs.
 
     A null text has none; without any credential there is no automaton and no span is added.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+            types = (pa.string(), pa.string(), pa.int64())
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "value", "n"])
+
+        pairs = np.zeros(256, np.int64)
         for batch in batches:
             rows = []
             for value in batch.column(0):
                 text = value.as_py() or ""
-                _, found, candidates = scan(text)
-                rows += found
-                rows += (("ordinary", text[r.start : r.end]) for r in candidates)
-            rows = [r for r in rows if len(r[1]) <= SAMPLE_CHARS]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())],
-                names=["kind", "value"],
-            )
+                spans, found, _ = scan(text)
+                rows += [(kind, word, 1) for kind, word in found if len(word) <= SAMPLE_CHARS]
+                pairs += word_pairs(text, spans)
+            yield made(rows)
+        names = ["", *SYMBOLS]
+        cells = (divmod(int(i), 16) for i in np.flatnonzero(pairs))
+        yield made([("ordinary", names[a] + names[b], int(pairs[16 * a + b])) for a, b in cells if b])
 
-    seen = materialise(docs.select(text_col).mapInArrow(run, "kind string, value string").distinct(), "credentials")
+    found = docs.select(text_col).mapInArrow(run, "kind string, value string, n long")
+    seen = materialise(found.groupBy("kind", "value").agg(F.sum("n").alias("n")), "credentials")
 
     def sample(kind: str) -> list[str]:
         rows = seen.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE)
         return [r.value for r in rows.collect()]  # bounded by SAMPLE
 
     automata = tuple(a for a in map(infer, map(sample, KINDS[:3])) if a)
-    return Model(automata, Ordinary(sample("ordinary")))
+    pairs = seen.where("kind = 'ordinary'").collect()  # one row for each pair of classes
+    return Model(automata, Ordinary.of_counts({r.value: r.n for r in pairs}))
 
 
 def with_spans(docs: DataFrame, model: Model, text_col: str = "text", redact: str | None = None) -> DataFrame:
@@ -251,7 +297,7 @@ def with_spans(docs: DataFrame, model: Model, text_col: str = "text", redact: st
     spans and stays null. Rows that repeat are scanned alike; an empty table gives an empty table. No shuffle.
     """
     docs = docs.drop("spans")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and the classes
     at = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -172,6 +173,32 @@ def test_secrets_on_tables(spark, edge_docs):
     assert secrets.with_spans(one, model, redact="[S]").collect()[0]["text"] == "a [S] end"
 
 
+def test_fit_finds_bare_keys_where_they_are_most_long_runs(spark):
+    rng = random.Random(7)
+    key = lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=32))
+    bare = [key() for _ in range(600)]
+    prose = "in this house the old clerk wrote a letter to Mr Brown on 12 May about well-known matters of state/church"
+    usual = "thanbleshaningtionnterberbeeinheitkeiter"
+    rows = [(f"{prose} {k} {usual} token={key()} end",) for k in bare]
+    docs = spark.createDataFrame(rows, "text string").repartition(5)
+    got = secrets.with_spans(docs, secrets.fit(docs), redact="[S]").collect()
+    assert sum(k in r["text"] for k in bare for r in got) <= 6
+    assert all(usual in r["text"] and prose in r["text"] for r in got)
+
+
+def test_word_pairs_against_brute_force(monkeypatch):
+    text = "é ab1 " + "k" * 25 + " Z-9 token=abcdef12 ü2x\n/a"
+    want = {}
+    for word in ("ab1", "Z-9", "2x", "/a"):
+        for before, c in zip(["", *map(secrets.symbol, word)], map(secrets.symbol, word)):
+            want[before + c] = want.get(before + c, 0) + 1
+    for size in (1, 3, 1 << 20):
+        monkeypatch.setattr(secrets, "COUNT_BYTES", size)
+        n = secrets.word_pairs(text, secrets.scan(text)[0])
+        names = ["", *secrets.SYMBOLS]
+        assert {names[i // 16] + names[i % 16]: n[i] for i in n.nonzero()[0] if i % 16} == want
+
+
 def test_op4_digests(spark):
     got = secrets.op4_secret_grammars(spark, SF).toPandas().set_index("doc_id")
     for r in pd.read_parquet(f"{SF}/documents.parquet").itertuples():
