@@ -19,15 +19,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id.
-
-    Of rows that repeat with id and text, one stays. Rows that share an id but not the text all stay if their id
-    does. Documents without id stay, one for each text, where no document of their group has an id.
+    """One document of each group of near-duplicates stays: that with the smallest doc_id, then fingerprint, then hash
+    of the text. A document without id stays where no document of its group has an id. Of rows that repeat with id and
+    text, one stays.
     """
     # A struct is never null, so a null id is an id like others in the join.
     key = F.struct("doc_id", F.xxhash64("text").alias("text")).alias("__key")
     marked = simhash.near_duplicates(docs.select("doc_id", "text", key), carried=("__key",))
-    stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__key").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "__key")).alias("first")
+    stay = marked.groupBy("root").agg(first).select("first.__key")
     order = Window.partitionBy("__key").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0))
     return (
         docs.select("*", key)

@@ -248,7 +248,8 @@ def near_duplicates(
     radius: int = RADIUS,
     carried: tuple[str, ...] = (),
 ) -> DataFrame:
-    """id_col, carried columns, fp and component_id of every row of docs: the smallest id reachable over links of at most radius bits.
+    """id_col, carried columns, fp, root and component_id of every row of docs: the smallest fingerprint and the
+    smallest id reachable over links of at most radius bits.
 
     Equal fingerprints are one node, so a group of copies of any size costs one. Null texts count as empty; texts
     without a word have fingerprint 0 and are linked like any other. A null id never names a component unless all
@@ -262,8 +263,8 @@ def near_duplicates(
     )
     # Only fingerprints with links need their root's smallest id; it is joined back through the nodes.
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, *carried, "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select(id_col, *carried, "fp", "root", "component_id")
 
 
 def op9_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,14 @@ def test_near_duplicate_stage_keeps_one(spark):
     assert sorted((r.doc_id or 0, r["text"]) for r in got) == [(0, "alone without id"), (3, a), (7, "something else entirely different here")]
 
 
+def test_near_duplicate_stage_keeps_one_of_groups_that_share_an_id_or_have_none(spark):
+    a, b = "one two three four five six seven eight", "nothing of this is like the other text at all"
+    texts = [(i, t) for i, text in ((1, a), (None, b)) for t in (text, text.upper(), text + "\n", text.title())]
+    docs = spark.createDataFrame([*texts, (1, "an id that another group has as well"), (2, a)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r["text"].strip().lower()) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == [(0, b), (1, "an id that another group has as well"), (1, a)]
+
+
 def test_run_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = quality.quality(docs).where("kept").select("doc_id", "text").toPandas().set_index("doc_id")["text"]
