@@ -206,8 +206,14 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] |
 
 def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every user turn as a tool call that comes after the conversation's call two turns before, every assistant turn
-    as the result of the call one turn before."""
-    call_id = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
+    as the result of the call one turn before.
+
+    A row without conv_id or turn belongs to no known conversation: its identifier comes from its own values, so it
+    is kept, as a call without result or a result without call, and is linked to nothing; rows that repeat are counted.
+    """
+    own = F.concat(F.lit("call-"), F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text")), 256))
+    # concat is null where one of its parts is; a call id of own has no second hyphen, so it equals no other.
+    call_id = lambda turn: F.coalesce(F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string")), own)
     search = F.coalesce(F.char_length("text"), F.lit(0)) <= 200
     calls = conversations.where("role = 'user'").select(
         "conv_id",
@@ -217,7 +223,7 @@ def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(search, F.to_json(F.struct(F.col("text").alias("query"), F.lit(10).alias("limit"))))
         .otherwise(F.to_json(F.struct("text", F.lit(50).alias("words"))))
         .alias("arguments"),
-        F.when(F.col("turn") >= 2, call_id(F.col("turn") - 2)).alias("after"),
+        F.when((F.col("turn") >= 2) & F.col("conv_id").isNotNull(), call_id(F.col("turn") - 2)).alias("after"),
     )
     results = conversations.where("role = 'assistant'").select(
         "conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content")

@@ -158,6 +158,21 @@ def test_tool_calls(spark):
     assert tools.link_calls(calls.limit(0), results.limit(0)).count() == 0
 
 
+def test_turns_without_conversation_or_turn_are_kept_apart(spark):
+    rows = [(None, 0, "user", "ask one"), (None, 0, "user", "ask two"), (None, 1, "assistant", "tell one"), (None, 1, "assistant", "tell two"),
+            (None, 2, "user", "ask three"), (None, 2, "user", "ask three"), (0, None, "user", "ask four"), (0, None, "assistant", "tell four"),
+            (1, None, "assistant", None), (1, None, "assistant", ""), (0, 0, "user", "ask five"), (0, 1, "assistant", "tell five")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = tools.link_calls(*tools.calls_and_results(turns)).collect()
+    for _, _, _, text in rows:
+        assert not text or sum(text in r.message for r in got) == 1
+    assert sum(r.n_calls + r.n_results for r in got) == len(rows)
+    linked = [r for r in got if r.n_calls and r.n_results]
+    assert [(r.call_id, r.status) for r in linked] == [("call-0-0", "ok")] and "tell five" in linked[0].message
+    assert all(r.depth in (0, None) for r in got) and len(got) == 10
+
+
+
 def test_long_chains_of_calls(spark):
     rows = [(f"{i}", f"{i - 1}" if i else None) for i in range(75)]
     got = {r.call_id: r.depth for r in tools.depths(spark.createDataFrame(rows, "call_id string, after string")).collect()}
