@@ -35,6 +35,9 @@ MIN_REVISIT_BYTES = 100
 #: Sample that a dictionary is trained on, at most, and the dictionary's largest and least size.
 SAMPLE_RECORDS = 512
 SAMPLE_BYTES = 4 << 20
+#: The least records that a dictionary is trained on, and how much of each one is, so that as many always fit.
+LEAST_RECORDS = 8
+LONGEST_BYTES = SAMPLE_BYTES // LEAST_RECORDS
 DICTIONARY_BYTES, LEAST_BYTES = 64 << 10, 1 << 10
 #: Lengths of the pieces that a dictionary is put together from; the shorter one serves small samples.
 SEGMENTS = (256, 64)
@@ -85,7 +88,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def train(sample: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     """A dictionary for records like those of sample; None if they are too few or too short for one."""
-    if len(sample) < 8:
+    if len(sample) < LEAST_RECORDS:
         return None
     size = max(LEAST_BYTES, min(DICTIONARY_BYTES, sum(map(len, sample)) // 8))
     while size >= LEAST_BYTES:  # records that repeat much fill small dictionaries only
@@ -200,12 +203,12 @@ def write_archives(
         sample, size = [], 0
         for data in stream:
             sample.append(data)
-            size += len(data)
+            size += min(len(data), LONGEST_BYTES)
             if len(sample) == SAMPLE_RECORDS or size >= SAMPLE_BYTES:
                 break
         if not sample:
             return
-        dictionary = train(sample)
+        dictionary = train([data[:LONGEST_BYTES] for data in sample])
         done, archive, n = [], None, 0
 
         def every() -> Iterator[bytes]:

@@ -125,6 +125,16 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_warc_trains_on_long_records_too(spark, tmp_path):
+    page = "concat('<html>', array_join(transform(sequence(1, 10000), i -> concat('<li class=\"item\">', sha1(concat(id, '-', i)), '</li>')), ' '), '</html>')"
+    pages = spark.range(64).selectExpr("id as page_id", "'u' as url", f"{page} as html")
+    archives = warc.write_archives(pages, f"file://{tmp_path}/l")
+    written = [(r.records, open(r.archive.removeprefix("file://"), "rb").read(4)) for r in archives.collect()]
+    assert max(n for n, _ in written) >= 8
+    assert all(struct.unpack("<I", head)[0] == warc.DICTIONARY_FRAME for n, head in written if n >= 8)
+    assert warc.read_archives(archives).count() == 64
+
+
 def test_archives_are_frames_that_others_can_read(tmp_path):
     records = [warc.record(i, "u", b"payload %d " % i * 30, len(b"payload %d " % i * 30), "d", None) for i in range(50)]
     archive = warc.Archive(f"file://{tmp_path}", "x.warc.zst", warc.train(records))
