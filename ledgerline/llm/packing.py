@@ -1,12 +1,12 @@
 """Best-fit packing of token sequences into fixed-size rows (operator 2).
 
-Bulk-synchronous best fit. Pieces of one length are interchangeable, so documents and gaps are kept as runs: one run
-per length, one per gap size, at most ``capacity`` of each whatever the corpus. A round takes the longest run still
-unplaced and sweeps the gap runs upwards from its successor (the smallest gap that holds it); where several pieces
-want one gap, the lower ranks get it and the rest go on to the next gap, and what finds no gap opens new sequences.
-Gaps are updated and the next round starts. The rounds give intervals of ranks; every piece then finds its own place
-by its rank within its length, which is computed by a distributed two-level count. Nothing but runs reaches the
-driver.
+Bulk-synchronous best fit. A piece of over half a sequence opens a sequence of its own; what is left of those are the
+first gaps. A round range-sorts the unplaced pieces and the gaps by size, pieces before gaps. Every range is swept
+upwards by one task: a gap takes the largest piece below it that is still free, so each piece gets its successor among
+the gaps and each gap one piece. What a range leaves over is numbered in its order; the ranges' numbers of left pieces
+and gaps settle which gaps of higher ranges take which pieces of lower ones, and these meet in a join by range and
+rank. Then the gaps are updated, sequences are opened if the gaps' room is short of what is left, and the next round
+starts. Wide gaps are swept as several, so that rounds stay few. Only numbers by range reach the driver.
 """
 
 from __future__ import annotations
@@ -14,22 +14,26 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import default_vocabulary, encoder
-from .common import materialise, partitions, read_table, salt
+from .common import materialise, read_table
 
 SEQUENCE_TOKENS = 1024
 #: Id that ends a document.
 END_ID = 2
-#: Parts of a length for each shuffle partition; more parts spread a length that holds most tokens more evenly.
-PARTS_PER_TASK = 8
+#: A round that places a smaller share of the pieces opens sequences although there is room.
+SLOW_ROUND = 0.05
+#: Sequences are opened by at least this share of those that there are, so that the last rounds do not open them singly.
+OPEN_SHARE = 0.0005
 
 
 class Interval(NamedTuple):
@@ -44,9 +48,8 @@ class Interval(NamedTuple):
 
 
 def best_fit_rounds(counts: dict[int, int], capacity: int) -> tuple[list[Interval], int]:
-    """Place counts[length] pieces of every length; the intervals and the number of sequences.
-
-    The work depends on capacity, not on the counts.
+    """Best fit of counts[length] pieces of every length, one after another on one machine: the intervals and the
+    number of sequences. pack is measured against it.
     """
     gaps: dict[int, list[list[int]]] = defaultdict(list)  # free tokens -> runs [first sequence, number]
     placed: list[Interval] = []
@@ -86,67 +89,157 @@ def best_fit_rounds(counts: dict[int, int], capacity: int) -> tuple[list[Interva
     return placed, sequences
 
 
-def ranked(pieces: DataFrame, length_col: str, key_cols: list[str], rank_col: str) -> DataFrame:
-    """pieces with the rank, from 0, of each among those of its length, in no particular order.
+def swept(items: DataFrame) -> DataFrame:
+    """What the sweep of each range of items (size, kind: 0 piece or 1 gap, id, used) finds, by size within a range.
+
+    found: 0 a piece and the gap that takes it (row, length, sequence_id, used), 1 a piece left, 2 a gap left. range
+    and rank number what is left: pieces from the largest down, gaps from the smallest up. In a range all gaps left
+    are smaller than all pieces left.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        size, kind, id_, used = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        pieces, gaps, pairs = [], [], []
+        for i, gap in enumerate(kind.tolist()):
+            if not gap:
+                pieces.append(i)
+            elif pieces:
+                pairs.append((pieces.pop(), i))
+            else:
+                gaps.append(i)
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        piece, gap = np.array(pieces[::-1], np.int64), np.array(gaps, np.int64)
+        found = np.repeat(np.arange(3), [len(a), len(piece), len(gap)])
+        rank = np.concatenate([np.zeros(len(a), np.int64), np.arange(len(piece)), np.arange(len(gap))])
+        row, to = np.concatenate([a, piece, gap]), np.concatenate([b, piece, gap])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(found, pa.int32()), pa.array(id_[row]), pa.array(size[row]), pa.array(id_[to]), pa.array(used[to]),
+                pa.array(np.full(len(found), TaskContext.get().partitionId()), pa.int32()), pa.array(rank),
+            ],
+            names=["found", "row", "length", "sequence_id", "used", "range", "rank"],
+        )
+
+    by = ("size", "kind", "id")
+    schema = "found int, row long, length int, sequence_id long, used int, range int, rank long"
+    return items.select(*by, "used").repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def carried(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Which gaps take the pieces that smaller ranges have left: (range of the pieces, first rank, rank after the last,
+    range of the gaps, rank of the first gap less that of the first piece).
 
-    A length may hold most rows, so its rows are counted in salted parts and the parts' sizes summed up.
+    left: (range, pieces, gaps) that each range has left. Each gap takes the nearest piece below that is free.
+    """
+    free: list[list[int]] = []  # range, pieces taken, pieces
+    found = []
+    for at, pieces, gaps in sorted(left):
+        done = 0
+        while done < gaps and free:
+            of = free[-1]
+            n = min(gaps - done, of[2] - of[1])
+            found.append((of[0], of[1], of[1] + n, at, done - of[1]))
+            of[1] += n
+            done += n
+            if of[1] == of[2]:
+                free.pop()
+        if pieces:
+            free.append([at, 0, pieces])
+    return found
+
+
+def best_fit(pieces: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
+    """(row, sequence_id, offset) of every row of pieces (row, length: at most half of capacity).
+
+    gaps (sequence_id from 0 on, free) are the sequences there are; those that are opened get ids below 0.
     """
     spark = pieces.sparkSession
-    parts = PARTS_PER_TASK * max(16, partitions(spark))
-    salted = pieces.withColumn("__part", salt(parts, *key_cols))
-    sizes = salted.groupBy(length_col, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(length_col).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(length_col, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(length_col, "__part").orderBy(*key_cols)
-    return (
-        salted.withColumn("__place", F.row_number().over(within) - 1)
-        .join(starts, [length_col, "__part"])
-        .withColumn(rank_col, F.col("__start") + F.col("__place"))
-        .drop("__part", "__place", "__start")
-    )
+    done, opened = [], 0
+    sequences = gaps.count()
+    while True:
+        n, smallest, largest, tokens = pieces.agg(
+            F.count(F.lit(1)), F.min("length"), F.max("length"), F.sum("length")
+        ).first()
+        if not n:
+            break
+        gaps = gaps.where(F.col("free") >= smallest)
+        room = gaps.agg(F.coalesce(F.sum("free"), F.lit(0))).first()[0]
+        short = tokens if done and placed < SLOW_ROUND * (placed + n) else tokens - room
+        if short > 0:
+            more = max(-(-short // capacity), int(OPEN_SHARE * (sequences + opened)))
+            new = spark.range(opened, opened + more).select((-1 - F.col("id")).alias("sequence_id"), F.lit(capacity).alias("free"))
+            gaps, opened = gaps.unionByName(new), opened + more
+        wide = F.greatest(F.lit(1), F.floor(F.col("free") / largest)).cast("int")
+        slots = gaps.select("*", wide.alias("n")).select("*", F.explode(F.sequence(F.lit(1), "n")).alias("slot")).select(
+            F.when(F.col("slot") == 1, F.col("free") - (F.col("n") - 1) * largest).otherwise(F.lit(largest)).alias("size"),
+            F.lit(1).alias("kind"), F.col("sequence_id").alias("id"), (capacity - F.col("free")).alias("used"),
+        )
+        items = pieces.select(
+            F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("row").alias("id"), F.lit(0).alias("used")
+        ).unionByName(slots)
+        found = materialise(swept(items), "swept")
+        left = found.where("found > 0").groupBy("range").agg(F.count_if(F.col("found") == 1), F.count_if(F.col("found") == 2))
+        carry = spark.createDataFrame(
+            carried([tuple(r) for r in left.collect()]),  # a row for each range
+            "of int, first long, end long, range int, shift long",
+        )
+        going = found.where("found = 1").select("row", "length", F.col("range").alias("of"), "rank").join(
+            F.broadcast(carry), "of"  # at most two rows for each range
+        ).where("rank >= first and rank < end").select("row", "length", "range", (F.col("rank") + F.col("shift")).alias("rank"))
+        taking = found.where("found = 2").select("range", "rank", "sequence_id", "used")
+        met = going.join(taking, ["range", "rank"]).select("row", "length", "sequence_id", "used")
+        before = Window.partitionBy("sequence_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+        both = found.where("found = 0").select("row", "length", "sequence_id", "used").unionByName(met)
+        offset = (F.col("used") + F.coalesce(F.sum("length").over(before), F.lit(0))).cast("long")
+        now = materialise(both.select("row", "length", "sequence_id", offset.alias("offset")), "placed")
+        filled = now.groupBy("sequence_id").agg(F.sum("length").cast("int").alias("filled"))
+        gaps = materialise(
+            gaps.join(filled, "sequence_id", "left")
+            .select("sequence_id", (F.col("free") - F.coalesce("filled", F.lit(0))).alias("free"))
+            .where("free > 0"),
+            "gaps",
+        )
+        gone = carry.groupBy("of").agg(F.max("end").alias("end"))
+        pieces = found.where("found = 1").join(F.broadcast(gone), F.col("range") == F.col("of"), "left").where(
+            "rank >= coalesce(end, 0)"
+        ).select("row", "length")
+        placed = now.count()
+        done.append(now.select("row", "sequence_id", "offset"))
+    if not done:
+        return pieces.select("row", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return reduce(DataFrame.unionByName, done)
 
 
-def pack(pieces: DataFrame, length_col: str, key_cols: list[str], capacity: int = SEQUENCE_TOKENS) -> DataFrame:
+def pack(
+    pieces: DataFrame, length_col: str, key_cols: list[str] | None = None, capacity: int = SEQUENCE_TOKENS
+) -> DataFrame:
     """pieces with sequence_id and offset: each lies whole in one sequence, gapless from offset 0.
 
-    pieces is read twice, so it should be a table or materialised. length_col must be 1 to capacity; a piece with any
-    other length raises an error. key_cols identify a piece; rows that repeat are placed once each. An empty table
-    gives an empty table. Columns of pieces named sequence_id or offset are replaced.
+    pieces is written once, with a number for each row, sorted by key_cols in each task. length_col must be 1 to
+    capacity; a piece with any other length raises an error. Rows that repeat are placed once each, and nulls in any
+    other column stay. Ties go by row number. An empty table gives an empty table. Columns of pieces named sequence_id
+    or offset are replaced.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    runs = pieces.groupBy(length_col).agg(F.count(F.lit(1)).alias("n")).limit(capacity + 2).collect()
-    counts = {r[0]: r[1] for r in runs}
-    if any(n is None or not 1 <= n <= capacity for n in counts):
+    ordered = pieces.sortWithinPartitions(*key_cols) if key_cols else pieces
+    rows = materialise(ordered.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    length = F.col(length_col)
+    wrong = rows.where(length.isNull() | ~length.between(1, capacity) | (length != F.floor(length)))
+    if not wrong.isEmpty():
         raise ValueError(f"{length_col} must be 1 to {capacity}")
-    placed, _ = best_fit_rounds(counts, capacity)
-    table = np.array([tuple(p) for p in placed], np.int64).reshape(-1, 5)
-    table = table[np.lexsort((table[:, 1], table[:, 0]))]
-    shift = 1 << 48
-    starts = table[:, 0] * shift + table[:, 1]
-    shared = pieces.sparkSession.sparkContext.broadcast((starts, table))  # bounded by the capacity
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, table = shared.value
-        for batch in batches:
-            length = batch.column(length_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column("__rank").to_numpy(zero_copy_only=False)
-            row = table[np.searchsorted(starts, length * shift + rank, "right") - 1]
-            turn = rank - row[:, 1]
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "__rank"]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(i) for i in keep),
-                    pa.array(row[:, 2] + turn // row[:, 3]),
-                    pa.array(row[:, 4] + turn % row[:, 3] * length),
-                ],
-                names=[*(batch.schema.names[i] for i in keep), "sequence_id", "offset"],
-            )
-
-    schema = T.StructType(
-        [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    opens = 2 * length > capacity  # no two of these share a sequence
+    zero = F.lit(0).cast("long").alias("offset")
+    first = rows.where(opens).select(*pieces.columns, F.col("__row").alias("sequence_id"), zero)
+    rest = rows.where(~opens)
+    gaps = rows.where(opens & (length < capacity)).select(
+        F.col("__row").alias("sequence_id"), (F.lit(capacity) - length).cast("int").alias("free")
     )
-    found = ranked(pieces, length_col, key_cols, "__rank").select(*pieces.columns, "__rank")
-    return found.mapInArrow(place, schema)
+    found = best_fit(rest.select(F.col("__row").alias("row"), length.cast("int").alias("length")), gaps, capacity)
+    placed = rest.join(found.withColumnRenamed("row", "__row"), "__row").select(*pieces.columns, "sequence_id", "offset")
+    return first.unionByName(placed)
 
 
 def token_pieces(
@@ -210,5 +303,6 @@ def token_pieces(
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = materialise(token_pieces(read_table(spark, sf_dir, "documents"), with_ids=False), "pieces")
-    return pack(pieces, "length", ["doc_id", "piece"])
+    """Pieces of all documents and their places; see token_pieces and pack for nulls, empty and repeated rows."""
+    pieces = token_pieces(read_table(spark, sf_dir, "documents"), with_ids=False)
+    return pack(pieces, "length")
