@@ -2,9 +2,11 @@
 
 Base patterns find assignments, access keys and long hexadecimal strings. What they find are labelled credentials: a
 bounded sample of each kind becomes a prefix tree, whose statistically compatible states are merged (Hoeffding test)
-into a probabilistic automaton. Every other long run of credential characters in every text is a candidate; it is
-scored by its likelihood under the automata against that under a model of ordinary words, and likely ones are added.
-That model counts all words of all texts but the runs that are judged themselves: keys would teach it their own alphabet.
+into a probabilistic automaton. Every other run of credential characters in every text that is as long as the shortest
+credential is a candidate, as is what a base span leaves of its run and the value behind the last "=" of one; it is
+scored by its likelihood under the automata against that under a model of ordinary words and the odds of meeting a
+credential at all, and likely ones are added. The model of words counts all words of all texts that are too short to
+be candidates: keys would teach it their own alphabet.
 """
 
 from __future__ import annotations
@@ -31,14 +33,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 KINDS = ("assign", "access", "hex", "grammar")
+#: Kind of the counts of words of one length.
+WORD = "word:"
 
-#: A run of credential characters that may hold an access key, a hexadecimal string or a candidate.
+#: A run of credential characters that may hold an access key or a hexadecimal string, and any run at all.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+ANY_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+#: Characters that do not end a candidate.
+ENDS = ".-=_"
+#: Candidates whose verdicts a task keeps; when full, the memory is emptied and filled anew.
+MEMO_ENTRIES = 200_000
 #: What an assignment's name begins with, in lower case; a text without these has no assignment.
 NAME_STARTS = ("passw", "secret", "token", "api")
 
-#: Sample of labelled credentials per kind that the automata are fitted on, and the longest string in it. The sample
-#: is the strings with the smallest hashes.
+#: Sample of labelled credentials per kind that the automata are fitted on, and the longest string in it (longer ones
+#: are found and scored like any other, but not learned from). The sample is the strings with the smallest hashes.
 SAMPLE = 512
 SAMPLE_CHARS = 256
 #: Significance of the test that keeps two states apart.
@@ -195,18 +204,28 @@ class Ordinary:
 
 
 class Model(NamedTuple):
+    """prior: log2 of how many words there are for each credential. least: length of the shortest credential."""
+
     automata: tuple[Automaton, ...]
     ordinary: Ordinary
+    prior: float = 0.0
+    least: int = ACCESS_LENGTH
 
     def secret(self, run: str) -> bool:
         if not self.automata:
             return False
         best = max(a.bits(run) for a in self.automata)
-        return best - self.ordinary.bits(run) >= MARGIN * len(run)
+        return best > -math.inf and best - self.ordinary.bits(run) >= MARGIN * len(run) + self.prior
 
 
 def scan(text: str) -> tuple[list[Span], list[tuple[str, str]], list[Span]]:
-    """Base spans in order, the credentials (kind, string) in them, and candidate runs outside them."""
+    """Base spans in order, the credentials (kind, string) in them, and long runs that touch none of them."""
+    spans, found, runs = base(text)
+    return spans, found, [r for r in outside(text, runs, spans, whole=True) if r.end - r.start >= ACCESS_LENGTH]
+
+
+def base(text: str) -> tuple[list[Span], list[tuple[str, str]], list[Span]]:
+    """Base spans in order, the credentials (kind, string) in them, and all long runs."""
     spans, found = [], []
     low = text.lower()
     if any(n in low for n in NAME_STARTS):
@@ -222,21 +241,66 @@ def scan(text: str) -> tuple[list[Span], list[tuple[str, str]], list[Span]]:
                     spans.append(Span(kind, *m.span()))
                     found.append((kind, m[0]))
     spans.sort(key=lambda s: (s.start, KINDS.index(s.kind)))
-    other = [r for r in runs if not any(r.start < s.end and s.start < r.end for s in spans)] if spans else runs
-    trimmed = (Span("grammar", r.start, r.start + len(text[r.start : r.end].rstrip(".-=_"))) for r in other)
-    return spans, found, [r for r in trimmed if r.end - r.start >= ACCESS_LENGTH]
-
-
-def find(text: str, model: Model) -> list[Span]:
-    """All spans by start, then kind: the base spans and those that the grammars add."""
-    spans, _, candidates = scan(text)
-    added = [r for r in candidates if model.secret(text[r.start : r.end])]
+    return spans, found, runs
+
+
+def outside(text: str, runs: list[Span], spans: list[Span], whole: bool = False) -> Iterator[Span]:
+    """What spans (by start) leave of runs (by start), or with whole only the runs that they do not touch, without
+    characters that end no candidate. Linear in the numbers of both."""
+    at, done = 0, 0  # spans before at start before the run; they reach up to done
+    for run in runs:
+        start = max(run.start, min(done, run.end))
+        parts, touched = [], done > run.start
+        while at < len(spans) and spans[at].start < run.end:
+            s = spans[at]
+            if s.end > run.start:
+                touched = True
+                if s.start > start:
+                    parts.append((start, s.start))
+                start = max(start, min(s.end, run.end))
+            done = max(done, s.end)
+            at += 1
+        parts.append((start, run.end))
+        for a, b in parts if not (whole and touched) else ():
+            b = a + len(text[a:b].rstrip(ENDS))
+            if a > run.start:  # what parts it from the span before
+                a = b - len(text[a:b].lstrip(ENDS + "/"))
+            if b > a:
+                yield Span("grammar", a, b)
+
+
+def candidates(text: str, spans: list[Span], least: int) -> Iterator[Span]:
+    """Parts of runs outside spans, and the value alone where a part is NAME=value, of at least least characters."""
+    for part in outside(text, [Span("grammar", *m.span()) for m in ANY_RUN.finditer(text)], spans):
+        value = text.rfind("=", part.start, part.end) + 1
+        if value:
+            part = Span("grammar", value, part.end)
+        if part.end - part.start >= least:
+            yield part
+
+
+def find(text: str, model: Model, memo: dict[str, bool] | None = None) -> list[Span]:
+    """All spans by start, then kind: the base spans and those that the grammars add. memo: verdicts to look up."""
+    memo = {} if memo is None else memo
+    spans, _, _ = base(text)
+    added = []
+    for part in candidates(text, spans, model.least) if model.automata else ():
+        run = text[part.start : part.end]
+        verdict = memo.get(run)
+        if verdict is None:
+            if len(memo) >= MEMO_ENTRIES:
+                memo.clear()
+            verdict = model.secret(run)
+            if len(run) <= SAMPLE_CHARS:
+                memo[run] = verdict
+        if verdict:
+            added.append(part)
     return sorted(spans + added, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
-def word_pairs(text: str, spans: list[Span]) -> np.ndarray:
+def word_pairs(text: str, spans: list[Span], by_length: bool = False) -> np.ndarray:
     """How often class b follows class a in the words of text, at 16 * a + b; a word is a run of credential characters
-    outside the base spans that is too short to be a candidate."""
+    outside the base spans that is no long run. With by_length a row for each length of a word."""
     rest = RUN.sub(lambda m: " " * len(m[0]), text)
     if spans:
         parts, done = [], 0
@@ -244,17 +308,23 @@ def word_pairs(text: str, spans: list[Span]) -> np.ndarray:
             parts.append(rest[done : s.start])
             done = max(done, s.end)
         rest = " ".join([*parts, rest[done:]])
-    data = b"\0" + rest.encode(errors="replace").translate(CLASS)
-    counts = np.zeros(256, np.int64)
-    for at in range(0, len(data) - 1, COUNT_BYTES):
-        part = np.frombuffer(data[at : at + COUNT_BYTES + 1], np.uint8)
-        counts += np.bincount(part[:-1] * 16 + part[1:], minlength=256)
-    return counts
+    data = b"\0" + rest.encode(errors="replace").translate(CLASS) + b"\0"
+    counts, at = np.zeros((ACCESS_LENGTH, 256), np.int64), 0
+    while at < len(data) - 1:
+        end = data.find(b"\0", min(at + COUNT_BYTES, len(data) - 1))  # a block ends where no word is
+        part = np.frombuffer(data[at : end + 1], np.uint8)
+        gaps = np.flatnonzero(part == 0)
+        lengths = np.diff(gaps) - 1  # of the word after each gap; a joined word may be longer than any run
+        of = np.repeat(np.minimum(lengths, ACCESS_LENGTH - 1), lengths + 1)
+        counts += np.bincount(of * 256 + part[:-1] * 16 + part[1:], minlength=counts.size).reshape(counts.shape)
+        at = end
+    return counts if by_length else counts.sum(axis=0)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """The automata of all kinds of credentials in docs, from a sample of SAMPLE distinct strings of each kind, and the
-    model of ordinary words, from all words of docs.
+    """The automata of all kinds of credentials in docs, from a sample of SAMPLE distinct strings of each kind with at
+    most SAMPLE_CHARS characters, the model of ordinary words, from all words of docs that are shorter than the shortest
+    credential, and the odds, from all words and credentials.
 
     A null text has none; without any credential there is no automaton and no span is added.
     """
@@ -265,29 +335,38 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             return pa.RecordBatch.from_arrays(columns, names=["kind", "value", "n"])
 
-        pairs = np.zeros(256, np.int64)
+        pairs = np.zeros((ACCESS_LENGTH, 256), np.int64)
         for batch in batches:
             rows = []
             for value in batch.column(0):
                 text = value.as_py() or ""
-                spans, found, _ = scan(text)
-                rows += [(kind, word, 1) for kind, word in found if len(word) <= SAMPLE_CHARS]
-                pairs += word_pairs(text, spans)
+                spans, found, _ = base(text)
+                rows += [(kind, word if len(word) <= SAMPLE_CHARS else None, 1) for kind, word in found]
+                pairs += word_pairs(text, spans, by_length=True)
             yield made(rows)
         names = ["", *SYMBOLS]
-        cells = (divmod(int(i), 16) for i in np.flatnonzero(pairs))
-        yield made([("ordinary", names[a] + names[b], int(pairs[16 * a + b])) for a, b in cells if b])
+        cells = ((int(size), int(i) // 16, int(i) % 16) for size, i in np.argwhere(pairs))
+        yield made([(f"{WORD}{size}", names[a] + names[b], int(pairs[size, 16 * a + b])) for size, a, b in cells if b])
 
     found = docs.select(text_col).mapInArrow(run, "kind string, value string, n long")
     seen = materialise(found.groupBy("kind", "value").agg(F.sum("n").alias("n")), "credentials")
 
     def sample(kind: str) -> list[str]:
-        rows = seen.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE)
+        rows = seen.where((F.col("kind") == kind) & F.col("value").isNotNull()).orderBy(F.xxhash64("value"), "value").limit(SAMPLE)
         return [r.value for r in rows.collect()]  # bounded by SAMPLE
 
-    automata = tuple(a for a in map(infer, map(sample, KINDS[:3])) if a)
-    pairs = seen.where("kind = 'ordinary'").collect()  # one row for each pair of classes
-    return Model(automata, Ordinary.of_counts({r.value: r.n for r in pairs}))
+    samples = [sample(kind) for kind in KINDS[:3]]
+    automata = tuple(a for a in map(infer, samples) if a)
+    is_word = F.col("kind").startswith(WORD)
+    keys, least = seen.where(~is_word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.min(F.char_length("value"))).first()
+    least = least or ACCESS_LENGTH
+    pairs, words = defaultdict(int), 0
+    for r in seen.where(is_word).collect():  # a row for each pair of classes and length
+        words += r.n if len(r.value) == 1 else 0
+        if int(r.kind.removeprefix(WORD)) < least:  # longer ones are candidates
+            pairs[r.value] += r.n
+    prior = max(0.0, math.log2((words + 1) / (keys + 1)))
+    return Model(automata, Ordinary.of_counts(pairs), prior, least)
 
 
 def with_spans(docs: DataFrame, model: Model, text_col: str = "text", redact: str | None = None) -> DataFrame:
@@ -311,11 +390,12 @@ def with_spans(docs: DataFrame, model: Model, text_col: str = "text", redact: st
         return "".join([*parts, text[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, bool] = {}
         for batch in batches:
             spans, texts = [], []
             for value in batch.column(at):
                 text = value.as_py()
-                found = find(text or "", shared.value)
+                found = find(text or "", shared.value, memo)
                 spans.append([s._asdict() for s in found])
                 if redact is not None:
                     texts.append(cut(text, found) if found else text)
@@ -332,6 +412,7 @@ def with_spans(docs: DataFrame, model: Model, text_col: str = "text", redact: st
 
 
 def op4_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of every document's secrets; see with_spans for nulls, empty texts and repeats."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_spans(docs, fit(docs)).select("doc_id", "spans")
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", *(s[k].cast("string") for k in ("kind", "start", "end")))), ",")
