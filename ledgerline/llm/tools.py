@@ -13,7 +13,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,7 +120,7 @@ def depths(calls: DataFrame) -> DataFrame:
     """
     nodes = calls.select("call_id", "after").where("call_id is not null")
     known = nodes.select(F.col("call_id").alias("after"), F.lit(True).alias("there"))
-    up = nodes.where("after is not null").join(known, "after", "left").select(
+    up = nodes.where("after is not null").join(known.hint("shuffle_hash"), "after", "left").select(
         "call_id", F.when(F.col("there"), F.col("after")).alias("up")
     )
     none = nodes.where("after is null").select("call_id", F.col("after").alias("up"))
@@ -130,7 +130,7 @@ def depths(calls: DataFrame) -> DataFrame:
     while rounds < min(limit, MAX_ROUNDS) and not now.where("up is not null").isEmpty():
         # Calls that have reached a first call are done and take no part in the join, where their nulls would meet.
         above = now.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        moved = now.where("up is not null").join(above, "up").select(
+        moved = now.where("up is not null").join(above.hint("shuffle_hash"), "up").select(
             "call_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")
         )
         now = materialise(now.where("up is null").select("call_id", "up", "depth").unionByName(moved), "depths")
@@ -138,26 +138,37 @@ def depths(calls: DataFrame) -> DataFrame:
     return now.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
+def link_calls(
+    calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | None = None, per_conversation: bool = False
+) -> DataFrame:
     """One row for each identifier in calls (conv_id, call_id, turn, name, arguments, after) or results (conv_id,
     call_id, turn, content): conv_id, call_id, depth, turn, status, n_calls, n_results, message.
 
-    Of calls or results with one identifier the first counts (least turn, then least values); n_calls and n_results
-    say how many rows there were. Rows without identifier are left out. status, the first that holds: no_call,
-    no_result, cycle, unknown_tool, bad_json, bad_arguments, ok. message: canonical JSON of the call and its result;
-    arguments that are no JSON stay a string. A null conv_id, name, content or turn is written as null. Other columns
-    are not looked at. Empty tables give an empty table.
+    An identifier is call_id, or with per_conversation conv_id and call_id, where conversations number their calls
+    each for itself (a null conv_id is then a conversation like others); after is read alike. Of calls or results with
+    one identifier the first counts (least turn, then least values); n_calls and n_results say how many rows there
+    were. Rows without call_id are left out. status, the first that holds: no_call, no_result, cycle, unknown_tool,
+    bad_json, bad_arguments, ok. message: canonical JSON of the call and its result; arguments that are no JSON, or
+    that no canonical JSON can hold (lone surrogates, nesting beyond the interpreter's depth), are bad_json and stay a
+    string. A null conv_id, name, content or turn is written as null. Other columns are not looked at. Empty tables
+    give an empty table.
     """
     schemas = SCHEMAS if schemas is None else schemas
-    first = lambda df, prefix, *cols: df.where("call_id is not null").groupBy("call_id").agg(
+
+    def named(name: str) -> Column:
+        return F.struct("conv_id", F.col(name).alias("call_id")) if per_conversation else F.col(name)
+
+    first = lambda df, prefix, *cols: df.where("call_id is not null").groupBy(named("call_id").alias("id")).agg(
         F.min(F.struct("turn", *cols)).alias(prefix), F.count(F.lit(1)).alias(f"n_{prefix}s")
     )
     one = materialise(first(calls, "call", "conv_id", "name", "arguments", "after"), "calls")
     got = first(results, "result", "conv_id", "content")
-    ranks = depths(one.select("call_id", F.col("call.after").alias("after")))
-    joined = one.join(ranks, "call_id", "left").join(got, "call_id", "full").select(
+    after = F.struct("call.conv_id", F.col("call.after").alias("call_id")) if per_conversation else F.col("call.after")
+    ranks = depths(one.select(F.col("id").alias("call_id"), F.when(F.col("call.after").isNotNull(), after).alias("after")))
+    ranks = ranks.withColumnRenamed("call_id", "id")
+    joined = one.join(ranks.hint("shuffle_hash"), "id", "left").join(got.hint("shuffle_hash"), "id", "full").select(
         F.coalesce("call.conv_id", "result.conv_id").alias("conv_id"),
-        "call_id",
+        (F.col("id.call_id") if per_conversation else F.col("id")).alias("call_id"),
         "depth",
         F.coalesce("call.turn", "result.turn").alias("turn"),
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
@@ -171,7 +182,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] |
     def row(r: dict) -> tuple[str, str]:
         value, state = r["arguments"], "ok"
         try:
-            value = strict(value) if value is not None else None
+            if value is not None:
+                known = strict(value)
+                canonical([known]).encode()  # in a list: as deep as it is in the message
+                value = known
         except (ValueError, RecursionError):
             state = "bad_json"
         if r["name"] not in schemas:
@@ -232,4 +246,5 @@ def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of conversations linked; see link_calls and calls_and_results for nulls, repeats and empty tables."""
     return link_calls(*calls_and_results(read_table(spark, sf_dir, "conversations")))
