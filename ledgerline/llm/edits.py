@@ -8,6 +8,7 @@ takes in the neighbours whose cut it might have changed, encodes this region alo
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -23,11 +24,12 @@ from .common import read_table
 #: Before white space that follows anything else.
 CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
-# What the query masks, and the replacements.
-MASKS = (
-    (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), "<EMAIL>"),
-    (re.compile(r"\+?\(?[0-9](?:[0-9() -]{5,}[0-9])"), "<NUMBER>"),
-)
+# What the query masks, and the replacements. An address is a name of ADDRESS_NAME characters, "@" and
+# ADDRESS_HOST.
+ADDRESS_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+ADDRESS_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+NUMBER = re.compile(r"\+?\(?[0-9](?:[0-9() -]{5,}[0-9])")
+ADDRESS_MASK, NUMBER_MASK = "<EMAIL>", "<NUMBER>"
 
 EDITS = T.ArrayType(
     T.StructType([
@@ -175,13 +177,31 @@ def edit_batches(batches: Iterator[pa.RecordBatch], edits_col: str, text_col: st
         yield added(batch, new | {c: pa.array([x[i] for x in numbers], pa.int64()) for i, c in enumerate(ADDED)})
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every mail address, leftmost first. Linear: a name is looked for before an "@" alone."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in ADDRESS_NAME:
+            start -= 1
+        host = ADDRESS_HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+            done = host.end()
+        at = text.find("@", max(done, at + 1))
+
+
 def mask_batches(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
     def of(text: str) -> list[dict]:
-        spans: list[tuple[int, int, str]] = []
-        for pattern, replacement in MASKS:
-            for m in pattern.finditer(text):
-                if all(m.end() <= a or b <= m.start() for a, b, _ in spans):
-                    spans.append((*m.span(), replacement))
+        mails = list(addresses(text))
+        ends = [b for _, b in mails]
+
+        def apart(m: re.Match) -> bool:
+            i = bisect_left(ends, m.start() + 1)  # the first address that ends after the number begins
+            return i == len(mails) or m.end() <= mails[i][0]
+
+        spans = [(a, b, ADDRESS_MASK) for a, b in mails]
+        spans += [(*m.span(), NUMBER_MASK) for m in NUMBER.finditer(text) if apart(m)]
         return [{"start": a, "end": b, "replacement": r} for a, b, r in sorted(spans, reverse=True)]
 
     for batch in slices(batches):
@@ -222,7 +242,7 @@ def apply_edits(
 
 def mask_edits(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with edits that replace addresses and long numbers, last first, so that each place holds when its turn
-    comes. A match that lies in an earlier mask's match is left out."""
+    comes. A number that touches an address is left out."""
     docs, schema = _extended(docs, T.StructField("edits", EDITS))
     return docs.mapInArrow(lambda batches: mask_batches(batches, text_col), schema)
 
