@@ -1,22 +1,24 @@
 """Nearest neighbours by collision counting over query-centred windows (operator 8).
 
-Vectors are dealt into shards. In a shard every projection on a random line gives a sorted array; a query opens a
-window around its own projection on each line and counts, for every vector, on how many lines it lies inside. Windows
-widen step by step (virtual rehashing: no second index), and a vector that collides on enough lines is verified by
-its true distance. A query is done when its k-th verified distance is within the radius that the windows stand for.
-Shards' answers are merged by distance.
+Vectors are dealt into shards of bounded size. In a shard every projection on a random line gives a sorted array; a
+query opens a window around its own projection on each line and counts, for every vector, on how many lines it lies
+inside. Windows widen step by step (virtual rehashing: no second index), and a vector that collides on enough lines is
+verified by its true distance. A query is done when its k-th verified distance is within the radius that the windows
+stand for. A shard's arrays are built once, by the task that holds it, and the queries stream past them. Shards'
+answers are merged by distance.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, salt
+from .common import materialise, partitions, read_table, salt
 
 NEIGHBOURS = 10
 #: Random lines, and the part of them on which a vector must collide to be verified.
@@ -27,11 +29,11 @@ WIDTH = 2.72
 #: By so much the radius grows in each step.
 GROWTH = math.sqrt(2)
 SEED = 17
-#: Vectors in a shard and queries in a block, about; each pair of them is one group.
-SHARD_VECTORS = 16_384
-BLOCK_QUERIES = 1024
-#: Queries whose counts are held at once.
-HELD_QUERIES = 128
+#: Components in a shard, at most about; a smaller table is dealt over the tasks in shards of at least so many vectors.
+SHARD_COMPONENTS = 8 << 20
+LEAST_VECTORS = 4096
+#: Counts that are held at once.
+HELD_COUNTS = 2 << 20
 
 
 class Lines:
@@ -49,7 +51,8 @@ class Lines:
 
     def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, vector, distance) of k nearest vectors found for each query, all if there are fewer."""
-        parts = [self._block(queries[i : i + HELD_QUERIES], k, i) for i in range(0, len(queries), HELD_QUERIES)]
+        held = max(1, HELD_COUNTS // len(self.x))
+        parts = [self._block(queries[i : i + held], k, i) for i in range(0, len(queries), held)]
         return tuple(np.concatenate(c) for c in zip(*parts))
 
     def _block(self, q: np.ndarray, k: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,23 +93,34 @@ class Lines:
         )
 
 
-def usable(embedding: str) -> F.Column:
+def usable(embedding: str) -> Column:
     """Vectors that take part: not null, not empty, without null, NaN or infinite components, and not all zero."""
     v = F.col(embedding)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
+def vectors_of(lists: pa.ListArray) -> np.ndarray:
+    """The rows of a matrix of doubles; all lists have one length and no null."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), -1)
+
+
 def nearest_neighbours(
-    vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", embedding_col: str = "embedding", k: int = NEIGHBOURS
+    vectors: DataFrame,
+    queries: Column,
+    id_col: str = "vec_id",
+    embedding_col: str = "embedding",
+    k: int = NEIGHBOURS,
+    shards: int | None = None,
 ) -> DataFrame:
     """query_id, rank (from 1), id, score: k nearest found for each row of vectors that the condition queries holds.
 
     Nearness is the Euclidean distance in double precision; ties go to the smaller id; a query is no neighbour of its
     own. Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows with a null id;
-    all others must have one length. Equal vectors are one entry of the index, which lists the k + 1 smallest ids
-    (no query can use more), so that a vector that is very common costs one. An id that repeats with equal vectors
-    counts once. An empty table gives an empty table.
+    a query meets the vectors of its own length. Equal vectors are one entry of the index, which lists the k + 1
+    smallest ids (no query can use more), so that a vector that is very common costs one. An id that repeats with equal
+    vectors counts once. An empty table gives an empty table. shards: their number, else by the table's size.
     """
     good = vectors.where(usable(embedding_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(embedding_col).cast("array<double>").alias("v"), queries.alias("asks")
@@ -118,24 +132,42 @@ def nearest_neighbours(
         .groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")),
         "vectors",
     )
-    asked = good.where("asks").select(F.col("id").alias("query_id"), "v").distinct()
-    n, m = entries.count(), asked.count()
-    shards, blocks = max(1, -(-n // SHARD_VECTORS)), max(1, -(-m // BLOCK_QUERIES))
-    every = lambda number, name: F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias(name)
-    indexed = entries.select(salt(shards, "v").alias("shard"), "ids", "v").select("*", every(blocks, "block"))
-    asking = asked.select(salt(blocks, "query_id").alias("block"), "query_id", "v").select("*", every(shards, "shard"))
-
-    def run(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "ids": [], "score": []})
-        x = x.reset_index(drop=True)
-        who, which, score = Lines(np.stack(x["v"])).nearest(np.stack(q["v"]), k + 1)
-        return pd.DataFrame({
-            "query_id": q["query_id"].to_numpy()[who], "ids": x["ids"].to_numpy()[which], "score": score
-        })
-
-    met = indexed.groupBy("shard", "block").cogroup(asking.groupBy("shard", "block"))
-    found = met.applyInPandas(run, "query_id long, ids array<long>, score double").select(
+    n, components = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    if shards is None:
+        spread = min(partitions(vectors.sparkSession), -(-n // LEAST_VECTORS))
+        shards = max(1, -(-components // SHARD_COMPONENTS), spread)
+    shard, none = salt(shards, "v").alias("shard"), F.lit(None).cast("long").alias("query_id")
+    indexed = entries.select(F.size("v").alias("length"), shard, F.lit(False).alias("asks"), none, "ids", "v")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    asking = good.where("asks").select(F.col("id").alias("query_id"), "v").distinct().select(
+        F.size("v").alias("length"), everywhere, F.lit(True).alias("asks"), "query_id", F.lit(None).cast("array<long>").alias("ids"), "v"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, lines, ids, held = None, None, [], []
+        for batch in batches:
+            keys = np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "shard", "asks")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(keys)]) if len(keys) else ():
+                part = batch.slice(start, end - start)
+                if place != tuple(keys[start, :2]):
+                    place, lines, ids, held = tuple(keys[start, :2]), None, [], []
+                if not keys[start, 2]:
+                    held.append(vectors_of(part["v"]))
+                    ids += part["ids"].to_pylist()
+                    continue
+                if held:
+                    lines, held = Lines(np.concatenate(held)), []
+                if lines is not None:
+                    who, which, score = lines.nearest(vectors_of(part["v"]), k + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [part["query_id"].take(pa.array(who)), pa.array([ids[i] for i in which], pa.list_(pa.int64())), pa.array(score)],
+                        names=["query_id", "ids", "score"],
+                    )
+
+    by = ("length", "shard")
+    met = indexed.unionByName(asking).repartition(max(shards, partitions(vectors.sparkSession)), *by).sortWithinPartitions(*by, "asks", "ids")
+    found = met.mapInArrow(run, "query_id long, ids array<long>, score double").select(
         "query_id", F.explode("ids").alias("id"), "score"
     )
     order = Window.partitionBy("query_id").orderBy("score", "id")
@@ -148,4 +180,5 @@ def nearest_neighbours(
 
 
 def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of the rows whose vec_id is divisible by 100; see nearest_neighbours for nulls, ties and repeats."""
     return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
