@@ -1,8 +1,8 @@
 """SimHash near-duplicates by sharded BK-trees (operator 9).
 
 Two 64-bit fingerprints that differ in at most r bits agree on one of r + 1 blocks of bits, or on k of r + k, so the
-fingerprints are dealt into shards by the values of chosen blocks; no link is lost. Each shard becomes a BK-tree:
-children hang at the integer Hamming distance to their parent, and a search with radius r that stands at distance d
+fingerprints are dealt into shards by the values of chosen blocks; no link is lost. A shard that is too large for a tree
+is dealt again by blocks of the bits that are left. Each shard becomes a BK-tree, in the task that searches it: children hang at the integer Hamming distance to their parent, and a search with radius r that stands at distance d
 follows the edges from d - r to d + r alone. All trees of a partition are built and searched level by level with numpy.
 A shard gives back its links as stars (at most one row for each fingerprint), which keeps what is connected;
 components over all shards follow.
@@ -30,8 +30,11 @@ BITS = 64
 RADIUS = 3
 SHINGLE_WORDS = 3
 SEED = 42
-#: Fingerprints in a tree; a larger shard is split into several trees, and every part searches every tree.
+#: Fingerprints in a tree; a larger shard is dealt again, and what is still larger is split into several trees, and every
+#: part searches every tree.
 TREE_SIZE = 1024
+#: A fingerprint of one in so many documents, or more, is joined by broadcast.
+COMMON_SHARE = 1000
 #: (fingerprint, node) pairs that a search handles at once.
 FRONTIER = 1 << 20
 #: A long text is split into words in blocks of this many bytes.
@@ -193,21 +196,39 @@ def shard_links(key: np.ndarray, x: np.ndarray, member: np.ndarray, radius: int)
     return x[moved], x[label[moved]]
 
 
+def further_masks(mask: int, radius: int) -> list[int]:
+    """radius + 1 masks over the bits that mask leaves: of two fingerprints at most radius apart that agree under mask,
+    one at least agrees too."""
+    rest = [i for i in range(BITS) if not mask >> i & 1]
+    edges = [len(rest) * i // (radius + 1) for i in range(radius + 2)]
+    return [sum(1 << i for i in rest[a:b]) for a, b in zip(edges, edges[1:])]
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
     """(a, b): links that connect all fingerprints fp of distinct which are within radius bits of each other."""
     masks = shard_masks(distinct.count(), radius)
-    dealt = distinct.select(
+    first = distinct.select(
         "fp",
         F.posexplode(F.array(*(F.col("fp").bitwiseAND(_signed(m)) for m in masks))).alias("mask", "block"),
-    ).select("fp", F.xxhash64("mask", "block").alias("shard"))
-    # A shard of over tree_size fingerprints is cut into parts; each two parts meet in one group of bounded size.
-    large = (
-        dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_size)
-        .select("shard", F.ceil(F.col("n") / tree_size).cast("int").alias("parts"))
+    ).select("fp", "mask", F.xxhash64("mask", "block").alias("shard"))
+
+    def large(dealt: DataFrame) -> DataFrame:
+        """The shards of over tree_size fingerprints, and how many trees each would fill."""
+        sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_size)
+        return sizes.select("shard", F.ceil(F.col("n") / tree_size).cast("int").alias("parts"))
+
+    # A large shard is dealt again by the bits it does not agree on yet.
+    split = first.join(large(first), "shard", "left")
+    more = F.array(*(F.array(*map(_signed, further_masks(m, radius))) for m in masks))
+    again = split.where("parts is not null").select(
+        "fp", "mask", "shard", F.posexplode(F.element_at(more, F.col("mask") + 1)).alias("further", "bits")
+    ).select("fp", F.xxhash64("shard", "further", F.col("fp").bitwiseAND(F.col("bits"))).alias("shard"))
+    # What is large even then is cut into parts; each two parts meet in one group of bounded size.
+    second = again.join(large(again), "shard", "left").select("fp", "shard", F.coalesce("parts", F.lit(1)).alias("parts"))
+    whole = (
+        split.where("parts is null").select("fp", "shard", F.lit(1).alias("parts")).unionByName(second)
+        .withColumn("part", F.pmod(F.xxhash64("fp", "shard"), F.col("parts")).cast("int"))
     )
-    whole = dealt.join(large, "shard", "left").select(
-        "fp", "shard", F.coalesce("parts", F.lit(1)).alias("parts"),
-    ).withColumn("part", F.pmod(F.xxhash64("fp", "shard"), F.col("parts")).cast("int"))
     met = whole.select(
         "fp", "shard", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     ).select(
@@ -256,17 +277,25 @@ def near_duplicates(
     ids of it are null. Rows that repeat are all returned; an empty table gives an empty table.
     """
     marked = materialise(fingerprints(docs, id_col, text_col, shingle, carried), "fingerprints")
-    nodes = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")), "nodes")
+    nodes = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n")), "nodes")
     joined = connected_components(links(nodes.select("fp"), radius))
     rooted = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("root")
+        "fp", "first_id", "n", F.coalesce("component", "fp").alias("root")
     )
     # Only fingerprints with links need their root's smallest id; it is joined back through the nodes.
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select(id_col, *carried, "fp", "root", "component_id")
+    named = materialise(rooted.join(least, "root").select("fp", "n", "root", "component_id"), "named")
+    # A fingerprint that many documents share must not meet in one task: those few are broadcast.
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = F.col("n") * COMMON_SHARE >= total
+    hot = F.broadcast(named.where(common).drop("n"))  # at most COMMON_SHARE rows
+    joined = marked.join(hot, "fp").unionByName(
+        marked.join(hot.select("fp"), "fp", "left_anti").join(named.where(~common).drop("n"), "fp")
+    )
+    return joined.select(id_col, *carried, "fp", "root", "component_id")
 
 
 def op9_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see near_duplicates for nulls, empty texts and repeats."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
