@@ -1,8 +1,9 @@
 """Edit-aware token counts (operator 1).
 
-A document is cut into words, each with the white space before it; no pre-token reaches over such a cut. The words'
-token counts are the leaves of a segment tree that sums characters and tokens. An edit finds its leaves by position,
-takes in the neighbours whose cut it might have changed, encodes this region alone and updates the sums above it.
+A document's pre-tokens are the leaves of a segment tree that sums characters and tokens; the trees are kept as a table.
+An edit finds its leaves by position and cuts the text into pre-tokens anew from a few characters before it until a
+cut meets an old one behind it, from where on nothing changes. This region alone is encoded, and the sums above it are
+updated.
 """
 
 from __future__ import annotations
@@ -10,19 +11,22 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import default_vocabulary, encoder
-from .common import read_table
+from .bpe import MEMO_BYTES, MEMO_ENTRIES, PATTERN, default_vocabulary, encoder
+from .common import materialise, read_table
 
-#: Before white space that follows anything else.
-CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
+PRE_TOKEN = regex.compile(PATTERN)
+#: Characters beyond a cut that it may depend on, besides those of a special token.
+BEYOND = 3
 
 # What the query masks, and the replacements. An address is a name of ADDRESS_NAME characters, "@" and
 # ADDRESS_HOST.
@@ -46,15 +50,59 @@ _LEAVES = pa.list_(pa.int32())
 _ARROW_EDITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("replacement", pa.string())]))
 
 
-def leaves(text: str) -> list[str]:
-    return CUT.split(text)
+class Leaves:
+    """Cuts texts into pre-tokens and counts the tokens of each, for one vocabulary."""
+
+    def __init__(self, path: str):
+        self.bpe = encoder(path)
+        special = sorted((s.decode() for s in self.bpe.special), key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.reach = BEYOND + max(map(len, special), default=0)
+        self.memo: dict[str, int] = {}
+
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of text, special tokens whole; an empty text has one empty leaf."""
+        parts = self.special.split(text) if self.special else [text]
+        if len(parts) == 1:
+            return PRE_TOKEN.findall(text) or [""]
+        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else PRE_TOKEN.findall(part))]
+
+    def _count(self, word: str) -> int:
+        data = word.encode()
+        if len(data) > MEMO_BYTES:
+            return len(self.bpe.encode_block(data, np.array([len(data)]))[0]) // 4
+        n = 1 if data in self.bpe.special else len(self.bpe.encoding.encode_ordinary(word))
+        if len(self.memo) >= MEMO_ENTRIES:
+            self.memo.clear()
+        self.memo[word] = n
+        return n
+
+    def counts(self, words: list[str]) -> list[int]:
+        found = list(map(self.memo.get, words))
+        if None in found:
+            found = [self._count(w) if n is None else n for w, n in zip(words, found)]
+        return found
+
+
+def leaves(text: str, path: str | None = None) -> list[str]:
+    return _leaves(path or default_vocabulary()).cut(text)
+
+
+@lru_cache(maxsize=4)
+def _leaves(path: str) -> Leaves:
+    return Leaves(path)
 
 
 class TokenTree:
-    """Segment tree over the leaves of a text: sums of characters and of tokens."""
+    """Segment tree over the leaves of a text: sums of characters and of tokens.
 
-    def __init__(self, words: list[str], tokens: list[int], count: Callable[[str], int]):
-        self.words, self.count = words, count
+    A place of the tree holds the leaves that took the place of one; at first that is one leaf.
+    """
+
+    def __init__(self, words: list[str], tokens: list[int], count: Callable[[str], int], cutter: Leaves | None = None):
+        self.cutter = cutter or _leaves(default_vocabulary())
+        self.count = count
+        self.places = [[(w, int(n))] for w, n in zip(words, tokens)]
         self.size = 1 << max(0, len(words) - 1).bit_length()
         self.chars, self.tokens = (np.zeros(2 * self.size, np.int64) for _ in range(2))
         self.chars[self.size : self.size + len(words)] = [len(w) for w in words]
@@ -70,24 +118,29 @@ class TokenTree:
     def total(self) -> int:
         return int(self.tokens[1])
 
+    def leaves(self) -> list[tuple[str, int]]:
+        """Every leaf and its tokens, in order."""
+        return [leaf for place in self.places for leaf in place if leaf[0]] or [("", 0)]
+
     def text(self) -> str:
-        return "".join(self.words)
+        return "".join(w for place in self.places for w, _ in place)
 
-    def leaf_at(self, place: int) -> tuple[int, int]:
-        """The leaf that holds the character at place, and where that leaf starts; past the end, the last leaf."""
-        place = min(place, int(self.chars[1]) - 1)
+    def place_at(self, char: int) -> tuple[int, int]:
+        """The place that holds the character numbered char, and where it starts; past the end, the last place."""
+        char = min(char, int(self.chars[1]) - 1)
         node, before = 1, 0
         while node < self.size:
             node *= 2
-            if place - before >= self.chars[node]:
+            if char - before >= self.chars[node]:
                 before += int(self.chars[node])
                 node += 1
         return node - self.size, before
 
-    def _set(self, leaf: int, word: str, tokens: int) -> None:
-        self.words[leaf] = word
-        node = leaf + self.size
-        more_chars, more_tokens = len(word) - self.chars[node], tokens - self.tokens[node]
+    def _set(self, place: int, held: list[tuple[str, int]]) -> None:
+        self.places[place] = held
+        node = place + self.size
+        more_chars = sum(len(w) for w, _ in held) - self.chars[node]
+        more_tokens = sum(n for _, n in held) - self.tokens[node]
         while node:
             self.chars[node] += more_chars
             self.tokens[node] += more_tokens
@@ -95,27 +148,34 @@ class TokenTree:
 
     def edit(self, start: int, end: int, replacement: str) -> None:
         """Replace characters start to end (exclusive) of the present text; both are clipped to it."""
-        n = int(self.chars[1])
+        n, reach = int(self.chars[1]), self.cutter.reach
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
-        if not n:
-            first = last = at = 0
-        else:
-            # The cut before a leaf holds while the leaf's first character stays; that after it, its last one.
-            first, at = self.leaf_at(start)
-            if start <= at and at > 0:
-                first, at = self.leaf_at(at - 1)
-            last, begin = self.leaf_at(end)
-            stop = begin + len(self.words[last])
-            if end >= stop and stop < n:
-                last, _ = self.leaf_at(stop)
-        region = "".join(self.words[first : last + 1])
-        region = region[: start - at] + replacement + region[end - at :]
-        self.encoded_chars += len(region)
-        self._set(first, region, self.count(region))
-        for leaf in range(first + 1, last + 1):
-            if self.words[leaf]:
-                self._set(leaf, "", 0)
+        first, at = self.place_at(max(start - reach, 0)) if n else (0, 0)
+        more = reach
+        while True:
+            last = self.place_at(min(end + more, n - 1))[0] if n else 0
+            held = [leaf for place in self.places[first : last + 1] for leaf in place]
+            before = "".join(w for w, _ in held)
+            after = before[: start - at] + replacement + before[end - at :]
+            words = self.cutter.cut(after)
+            if at + len(before) == n:
+                known = []  # the region goes to the end of the text
+                break
+            # The first new cut behind the edit that is an old cut too, and does not depend on what is not looked at.
+            old = {e: i for i, e in enumerate(accumulate(len(w) for w, _ in held), 1)}
+            shift = len(after) - len(before)
+            cuts = enumerate(accumulate(map(len, words)), 1)
+            met = next(((i, e) for i, e in cuts if e >= start - at + len(replacement) and e - shift in old), None)
+            if met and met[1] <= len(after) - reach:
+                words, known = words[: met[0]], held[old[met[1] - shift] :]
+                break
+            more *= 2
+        self.encoded_chars += sum(map(len, words))
+        self._set(first, [*((w, self.count(w)) for w in words), *known])
+        for place in range(first + 1, last + 1):
+            if self.places[place]:
+                self._set(place, [])
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,24 +192,21 @@ def added(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 def tree_batches(batches: Iterator[pa.RecordBatch], text_col: str, path: str) -> Iterator[pa.RecordBatch]:
-    bpe = encoder(path)
+    cutter = _leaves(path)
     for batch in slices(batches):
         chars, tokens = [], []
         for value in batch[text_col]:
-            words = leaves(value.as_py() or "")
-            data = [w.encode() for w in words]
-            ends = np.cumsum([len(b) for b in data])
-            tokens.append(np.array([len(x) // 4 for x in bpe.encode_block(b"".join(data), ends)], np.int32))
-            chars.append(np.array([len(w) for w in words], np.int32))
+            words = cutter.cut(value.as_py() or "")
+            tokens.append(np.array(cutter.counts(words), np.int32))
+            chars.append(np.fromiter(map(len, words), np.int32, len(words)))
         yield added(batch, {"leaf_chars": pa.array(chars, _LEAVES), "leaf_tokens": pa.array(tokens, _LEAVES)})
 
 
 def edit_batches(batches: Iterator[pa.RecordBatch], edits_col: str, text_col: str, path: str) -> Iterator[pa.RecordBatch]:
-    bpe = encoder(path)
+    cutter = _leaves(path)
 
-    def count(text: str) -> int:
-        data = text.encode()
-        return len(bpe.encode_block(data, np.array([len(data)]))[0]) // 4
+    def count(word: str) -> int:
+        return cutter.counts([word])[0]
 
     for batch in slices(batches):
         texts, chars, tokens, numbers = [], [], [], []
@@ -164,13 +221,13 @@ def edit_batches(batches: Iterator[pa.RecordBatch], edits_col: str, text_col: st
                 continue
             ends = list(accumulate(size.tolist()))
             whole = text.as_py() or ""
-            tree = TokenTree([whole[a:b] for a, b in zip([0, *ends], ends)], before, count)
+            tree = TokenTree([whole[a:b] for a, b in zip([0, *ends], ends)], before, count, cutter)
             for e in edits:
                 tree.edit(e["start"], e["start"] if e["end"] is None else e["end"], e["replacement"] or "")
             texts.append(tree.text())
-            kept = [(len(w), t) for w, t in zip(tree.words, tree.tokens[tree.size :].tolist()) if w] or [(0, 0)]
-            chars.append(np.array([c for c, _ in kept], np.int32))
-            tokens.append(np.array([t for _, t in kept], np.int32))
+            kept = tree.leaves()
+            chars.append(np.array([len(w) for w, _ in kept], np.int32))
+            tokens.append(np.array([n for _, n in kept], np.int32))
             numbers.append((len(edits), int(before.sum()), tree.total, tree.encoded_chars))
         new = {text_col: pa.array(texts, pa.string())}
         new |= {"leaf_chars": pa.array(chars, _LEAVES), "leaf_tokens": pa.array(tokens, _LEAVES)}
@@ -248,17 +305,21 @@ def mask_edits(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def masked_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """apply_edits(token_trees(mask_edits(docs))) in one pass, so that a task has one Python worker."""
+    """apply_edits(mask_edits(trees)) in one pass over the written table of docs' trees, so that a task has one Python
+    worker. The table stays, for further edits of the same documents."""
     path = vocabulary or default_vocabulary()
-    docs, schema = _extended(docs, T.StructField("edits", EDITS), *TREE, *NUMBERS)
+    trees = materialise(token_trees(docs, text_col, path), "trees")
+    trees, schema = _extended(trees, T.StructField("edits", EDITS), *NUMBERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return edit_batches(tree_batches(mask_batches(batches, text_col), text_col, path), "edits", text_col, path)
+        return edit_batches(mask_batches(batches, text_col), "edits", text_col, path)
 
-    return docs.mapInArrow(run, schema)
+    return trees.mapInArrow(run, schema)
 
 
 def op1_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its addresses and long numbers are masked; see token_trees and
+    apply_edits for nulls, empty texts and repeats."""
     counted = masked_counts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return counted.select(
         "doc_id", "n_edits", "tokens_before", "tokens_after", "encoded_chars",
