@@ -25,12 +25,15 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+def materialise(df: DataFrame, what: str, block_bytes: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, so that a lost
-    executor costs its own tasks only, and no branch of the plan computes df twice."""
+    executor costs its own tasks only, and no branch of the plan computes df twice.
+
+    block_bytes: what a task holds of a file before it writes it out, else the writer's own size."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.parquet(path)
+    writer = df.write if block_bytes is None else df.write.option("parquet.block.size", block_bytes)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import MEMO_BYTES, MEMO_ENTRIES, PATTERN, default_vocabulary, encoder
+from .bpe import MEMO_BYTES, PATTERN, default_vocabulary, encoder
 from .common import materialise, read_table
 
 PRE_TOKEN = regex.compile(PATTERN)
@@ -46,6 +46,10 @@ ADDED = ("n_edits", "tokens_before", "tokens_after", "encoded_chars")
 NUMBERS = [T.StructField(c, T.LongType()) for c in ADDED]
 #: Rows that are worked on at once.
 SLICE_ROWS = 256
+#: Pre-tokens whose counts a worker keeps; when full, the memory is emptied and filled anew.
+MEMO_ENTRIES = 150_000
+#: What a task holds of the table of trees before it writes it out.
+TREE_BLOCK_BYTES = 32 << 20
 _LEAVES = pa.list_(pa.int32())
 _ARROW_EDITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("replacement", pa.string())]))
 
@@ -308,7 +312,7 @@ def masked_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | Non
     """apply_edits(mask_edits(trees)) in one pass over the written table of docs' trees, so that a task has one Python
     worker. The table stays, for further edits of the same documents."""
     path = vocabulary or default_vocabulary()
-    trees = materialise(token_trees(docs, text_col, path), "trees")
+    trees = materialise(token_trees(docs, text_col, path), "trees", TREE_BLOCK_BYTES)
     trees, schema = _extended(trees, T.StructField("edits", EDITS), *NUMBERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
