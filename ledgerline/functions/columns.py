@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions import labels
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -70,6 +72,17 @@ def band(c: str | Column, *edges: tuple[float, str], otherwise: str, closed: boo
     return out.otherwise(F.lit(otherwise))
 
 
+def banded(c: str | Column, bands: tuple, closed: bool = False) -> Column:
+    """band with a list of labels.py."""
+    edges, otherwise = bands
+    return band(c, *edges, otherwise=otherwise, closed=closed)
+
+
+def tile_label(tile: str, labels: tuple[str, ...]) -> Column:
+    """The label of a tile, numbered from 1."""
+    return F.element_at(F.array(*map(F.lit, labels)), F.col(tile).cast("int"))
+
+
 def longs(df: DataFrame) -> DataFrame:
     """df with all integer columns as bigint and decimals as double, as every query returns them."""
     return df.select(
@@ -82,11 +95,8 @@ def longs(df: DataFrame) -> DataFrame:
     )
 
 
-AGE_BANDS = dict(edges=((30, "18-29"), (40, "30-39"), (50, "40-49"), (60, "50-59")), otherwise="60+")
-
-
 def age_band(c: str = "age") -> Column:
-    return band(c, *AGE_BANDS["edges"], otherwise=AGE_BANDS["otherwise"])
+    return banded(c, labels.AGE)
 
 
 def churned() -> Column:

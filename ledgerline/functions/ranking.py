@@ -1,4 +1,8 @@
-"""Global positions, tiles and percentile ranks without a single-task window."""
+"""Global positions, tiles, percentile ranks and percentiles without a task that sees all rows.
+
+Rows are dealt into ranges of the order, which are written to the shared folder when the plan is made: both passes over
+them must see the same ranges.
+"""
 
 from __future__ import annotations
 
@@ -55,30 +59,63 @@ def with_tile(df: DataFrame, order: list[Column], tiles: int, name: str) -> Data
 
 def with_percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with the average-tie percentile rank of value: (first place + (ties - 1) / 2) / rows; null for nulls."""
-    counts = materialise(
-        df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")), "counts"
-    )
-    placed = with_position_weighted(counts, value)
-    rows = counts.agg(F.sum("__n").alias("__rows"))
-    ranks = placed.crossJoin(F.broadcast(rows)).select(
-        value, ((F.col("__before") + 1 + (F.col("__n") - 1) / 2.0) / F.col("__rows")).cast("double").alias(name)
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    ranks = with_position_weighted(counts, value).select(
+        value, ((F.col("__before") + 1 + (F.col("__n") - 1) / 2.0) / F.col("__total")).cast("double").alias(name)
     )
     return df.join(ranks, value, "left")
 
 
-def with_position_weighted(counts: DataFrame, value: str) -> DataFrame:
-    """counts (value, __n) with __before, the sum of __n over all smaller values, in ranges of the value."""
+def with_position_weighted(counts: DataFrame, value: str, group: str | None = None) -> DataFrame:
+    """counts (value, __n and, if named, group) with __before, the sum of __n over all smaller values, and __total, the
+    sum over all values; both within the group, if named. A null group is a group."""
     ranges = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [group] if group else []
     ranged = materialise(
-        counts.repartitionByRange(ranges, value).withColumn("__range", F.spark_partition_id()), "ranges"
+        counts.repartitionByRange(ranges, *keys, value).withColumn("__range", F.spark_partition_id()), "ranges"
     )
     before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = (
-        ranged.groupBy("__range").agg(F.sum("__n").alias("__n"))
-        .select("__range", before(Window.orderBy("__range")).alias("__start"))
+    inside_group = Window.partitionBy(*keys)
+    # A row for each range, and one more for each group that begins within a range.
+    starts = ranged.groupBy("__range", *keys).agg(F.sum("__n").alias("__n")).select(
+        F.col("__range").alias("__of"), *(F.col(k).alias("__group") for k in keys),
+        before(inside_group.orderBy("__range")).alias("__start"), F.sum("__n").over(inside_group).alias("__total"),
     )
+    same = F.col("__range") == F.col("__of")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col("__group"))
     return (
-        ranged.withColumn("__inside", before(Window.partitionBy("__range").orderBy(value)))
-        .join(F.broadcast(starts), "__range")
+        ranged.withColumn("__inside", before(Window.partitionBy("__range", *keys).orderBy(value)))
+        .join(starts, same)
         .withColumn("__before", F.col("__start") + F.col("__inside"))
+        .drop("__of", "__group", "__start", "__inside", "__range")
     )
+
+
+def percentiles(df: DataFrame, value: Column, shares: dict[str, float], group: str | None = None) -> DataFrame:
+    """Exact percentiles of value, interpolated between neighbours: a column for each of shares (name, share from 0 to
+    1), in one row or, with group, in a row for each group, null for a group without values.
+
+    Equal values are counted before they are shuffled, and each place is looked for in the range of values it lies in.
+    """
+    keys = [group] if group else []
+    counts = df.select(*keys, value.alias("__value")).groupBy(*keys, "__value").agg(F.count(F.lit(1)).alias("__n"))
+    known = F.when(F.col("__value").isNotNull(), F.col("__n")).otherwise(F.lit(0))
+    placed = with_position_weighted(counts.withColumn("__n", known), "__value", group)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("__before") <= place) & (place < F.col("__before") + F.col("__n")), F.col("__value")))
+
+    def found(share: float) -> tuple[Column, Column, Column]:
+        place = (F.col("__total") - 1) * F.lit(float(share))
+        return F.max(place), at(F.floor(place)), at(F.ceil(place))
+
+    three = [(name, found(share)) for name, share in shares.items()]
+    parts = placed.groupBy(*keys).agg(*(x.alias(f"{name}__{i}") for name, xs in three for i, x in enumerate(xs)))
+
+    def between(name: str) -> Column:
+        place, low, high = (F.col(f"{name}__{i}") for i in range(3))
+        inside = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        return F.when(low == high, low).otherwise(inside).alias(name)
+
+    return parts.select(*keys, *(between(name) for name in shares))

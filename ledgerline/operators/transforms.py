@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import col, n, pct, ratio, rounded
-from ledgerline.functions.ranking import with_percentile_rank
+from ledgerline.functions.ranking import percentiles, with_percentile_rank
 
 # Codes of the raw files and their labels.
 STATUS = {"Existing Customer": "Active", "Attrited Customer": "Churned"}
@@ -89,8 +89,8 @@ def hash_name(key: str | Column, pool: list[str]) -> Column:
 
 def flag_high_value(transactions: DataFrame, amount: str = "amount", group: str = "merchant_category") -> DataFrame:
     """transactions with is_high_value: amount above the exact third quartile of its group. One row a group is
-    joined back."""
-    p75 = transactions.groupBy(group).agg(F.percentile(F.col(amount).cast("double"), 0.75).alias("__p75"))
+    joined back; rows without a group are left out."""
+    p75 = percentiles(transactions, F.col(amount).cast("double"), {"__p75": 0.75}, group)
     return (
         transactions.join(p75, group)
         .withColumn("is_high_value", F.col(amount).cast("double") > F.col("__p75"))
@@ -140,14 +140,15 @@ def profile_categories(t: DataFrame, c: str = "merchant_category") -> DataFrame:
 def profile_amounts(t: DataFrame, c: str = "merchant_category", amount: str = "amount") -> DataFrame:
     """mean, sample standard deviation, minimum, quartiles and maximum of amounts in each category."""
     x = F.col(amount).cast("double")
-    quartiles = [F.percentile(x, p) for p in (0.25, 0.5, 0.75)]
-    return t.groupBy(c).agg(
+    quartiles = percentiles(t, x, {"p25": 0.25, "median": 0.5, "p75": 0.75}, c)
+    moments = t.groupBy(F.col(c).alias("__c")).agg(
         rounded(ratio(F.sum(amount), F.count(amount)), 6).alias("mean"),
         rounded(F.stddev_samp(x), 4).alias("std"),
         F.min(x).alias("min"),
-        *(rounded(q, 6).alias(name) for q, name in zip(quartiles, ("p25", "median", "p75"))),
         F.max(x).alias("max"),
     )
+    both = quartiles.join(moments, F.col(c).eqNullSafe(F.col("__c")))
+    return both.select(c, "mean", "std", "min", *(rounded(F.col(q), 6).alias(q) for q in ("p25", "median", "p75")), "max")
 
 
 def profile_weights(t: DataFrame, part: Column, name: str) -> DataFrame:

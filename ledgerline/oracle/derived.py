@@ -23,6 +23,7 @@ def weights(part: str, name: str, source: str) -> str:
 
 BODIES: dict[str, str] = {
     "dim_date": "SELECT * FROM dim_date WHERE date_key IN (SELECT date_key FROM fact_transactions)",
+    "dim_date_calendar": "SELECT * FROM dim_date",
     "map_categories": """SELECT income_bracket, CASE income_bracket WHEN 'AUTOMOBILE' THEN 'Above' WHEN 'BUILDING' THEN 'Upper'
  WHEN 'FURNITURE' THEN 'Middle' WHEN 'HOUSEHOLD' THEN 'Lower' ELSE 'Unmapped' END AS label, count(*) AS customers
  FROM dim_customer GROUP BY 1, 2""",
@@ -97,3 +98,9 @@ BODIES: dict[str, str] = {
  LEFT JOIN (SELECT customer_id, {mean('csat_score')} AS csat FROM fact_service_logs GROUP BY 1) USING (customer_id)
  LEFT JOIN (SELECT customer_id, count(*) AS won FROM fact_campaign_responses WHERE was_accepted GROUP BY 1) USING (customer_id))""",
 }
+BODIES["ml_seg_impute_scale"] = UNION.join(
+    f"""SELECT '{c}' AS feature, {r(f'avg({c})', 4)} AS mean,
+ {r(f'stddev_samp(coalesce({c}, (SELECT avg({c}) FROM ({BODIES["ml_seg_features"]}))))', 4)} AS std
+ FROM ({BODIES["ml_seg_features"]})"""
+    for c in SEGMENT
+)

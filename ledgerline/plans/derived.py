@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.columns import n, rounded
 from ledgerline.functions.ranking import with_percentile_rank
 from ledgerline.operators import transforms as X
-from ledgerline.plans.quality import orphans, union
+from ledgerline.plans.quality import orphans, rows_of, union
 from ledgerline.plans.registry import query
 from ledgerline.plans.views import hourly
 from ledgerline.sources.adapter import INCOME_SCORE
@@ -25,6 +25,12 @@ def dim_date(s: Star) -> DataFrame:
     return s.dim_date.join(s.fact_transactions.select("date_key"), "date_key", "left_semi")
 
 
+@query
+def dim_date_calendar(s: Star) -> DataFrame:
+    """The whole calendar, day by day."""
+    return s.dim_date
+
+
 @query
 def map_categories(s: Star) -> DataFrame:
     label = X.mapped("income_bracket", INCOME_LABELS, "Unmapped").alias("label")
@@ -144,7 +150,7 @@ def orphan_counts_load(s: Star) -> DataFrame:
     facts = ("fact_transactions", "fact_service_logs", "fact_campaign_responses")
     return union([
         getattr(s, t).agg(n().alias("row_count"))
-        .crossJoin(orphans(s, t, "customer_id", "dim_customer").agg(n().alias("orphans")))  # one row each
+        .crossJoin(orphans(s, t, "customer_id", "dim_customer").agg(rows_of("n").alias("orphans")))  # one row each
         .withColumn("table_name", F.lit(t))
         for t in facts
     ])

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import n, rounded, share_of_total
+from ledgerline.functions.ranking import percentiles
 from ledgerline.ml import churn, segmentation
 from ledgerline.plans.business import row
 from ledgerline.plans.campaign import conversion
@@ -88,9 +89,11 @@ def ml_churn_importance(s: Star) -> DataFrame:
 
 @query
 def ml_seg_impute_scale(s: Star) -> DataFrame:
+    """Mean and standard deviation that each feature is scaled by, to four digits."""
     scaler = fitted(s).segmentation.prepare.stages[-1]
     rows = list(zip(segmentation.FEATURES, scaler.mean.toArray().tolist(), scaler.std.toArray().tolist()))
-    return s.spark.createDataFrame(rows, "feature string, mean double, std double")
+    found = s.spark.createDataFrame(rows, "feature string, mean double, std double")
+    return found.select("feature", *(rounded(F.col(c), 4).alias(c) for c in ("mean", "std")))
 
 
 @query
@@ -153,7 +156,7 @@ def act_ticket_routing(s: Star) -> DataFrame:
 def act_high_value_at_risk(s: Star) -> DataFrame:
     """Customers in the top tenth by probability whose lifetime value is over HIGH_CLV."""
     scored = fitted(s).scored.select("customer_id", "churn_probability")
-    edge = scored.agg(F.percentile("churn_probability", 0.9).alias("edge"))  # one row
+    edge = percentiles(scored, F.col("churn_probability"), {"edge": 0.9})  # one row
     top = scored.crossJoin(F.broadcast(edge)).where(F.col("churn_probability") >= F.col("edge")).drop("edge")
     valued = with_clv(s.dim_customer).where(F.col("estimated_clv") > HIGH_CLV).select("customer_id", "estimated_clv")
     return top.join(valued, "customer_id")

@@ -1,6 +1,8 @@
 """Data quality: single checks with their measures, and a suite of pass, warn or fail results with a score.
 
-Counts of one table come from one pass over it. A check that fails to run fails; it does not vanish from the score.
+A single check reads what it needs. The suite reads each table once: every row is counted under its own key or the keys
+it refers to, with what is wrong with it, so that one grouping by key tells duplicates, orphans and all other measures.
+A check that fails to run fails; it does not vanish from the score.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import schema
 from ledgerline.functions.columns import avg, dbl, n, pct, ratio, rounded, share_of_total
+from ledgerline.functions.ranking import percentiles
 from ledgerline.plans.registry import query
 from ledgerline.sources.warehouse import Star
 
@@ -60,10 +63,15 @@ def unpivot(row: DataFrame, names: list[str], label: str = "check", value: str =
 
 
 def orphans(s: Star, child: str, key: str, parent: str) -> DataFrame:
-    left = getattr(s, child).where(F.col(key).isNotNull()).select(key)
+    """The keys of child that parent lacks, and how many rows (n) each has; rows are counted before keys meet."""
+    left = getattr(s, child).where(F.col(key).isNotNull()).groupBy(key).agg(n().alias("n"))
     return left.join(getattr(s, parent).select(key), key, "left_anti")
 
 
+def rows_of(counts: str) -> Column:
+    return F.coalesce(F.sum(counts), F.lit(0))
+
+
 def result(df: DataFrame, suite: str, category: str, table: Column, status: Column, critical: bool = False) -> DataFrame:
     return df.select(
         F.lit(suite).alias("suite"), F.lit(category).alias("category"), table.alias("table"), "check",
@@ -107,7 +115,7 @@ def dq_dup_product(s: Star) -> DataFrame:
 
 
 def orphan_count(s: Star, child: str, key: str, parent: str) -> DataFrame:
-    return orphans(s, child, key, parent).agg(n().alias("orphan_records"))
+    return orphans(s, child, key, parent).agg(rows_of("n").alias("orphan_records"))
 
 
 @query
@@ -136,11 +144,13 @@ def dq_fk_response_campaign(s: Star) -> DataFrame:
 
 
 def value_range(df: DataFrame, c: str, digits: int, bad: Column, median: bool = True) -> DataFrame:
-    middle = [rounded(F.percentile(dbl(c), 0.5), 4).alias("median_val")] if median else []
-    return df.agg(
-        F.min(c).alias("min_val"), F.max(c).alias("max_val"), avg(c, digits).alias("avg_val"), *middle,
-        F.count_if(bad).alias("invalid"),
-    )
+    found = df.agg(
+        F.min(c).alias("min_val"), F.max(c).alias("max_val"), avg(c, digits).alias("avg_val"), F.count_if(bad).alias("invalid")
+    )
+    if not median:
+        return found
+    middle = percentiles(df, dbl(c), {"median": 0.5}).select(rounded(F.col("median"), 4).alias("median_val"))
+    return found.crossJoin(middle)  # one row each
 
 
 @query
@@ -199,7 +209,7 @@ def dq_summary(s: Star) -> DataFrame:
     """Six named checks; the funnel check here leaves out the step from contacted to opened."""
     counts = [
         ("No duplicate customer IDs", s.dim_customer.groupBy("customer_id").agg(n().alias("n")).where("n > 1").agg(n().alias("bad"))),
-        ("No orphan transactions", orphans(s, "fact_transactions", "customer_id", "dim_customer").agg(n().alias("bad"))),
+        ("No orphan transactions", orphans(s, "fact_transactions", "customer_id", "dim_customer").agg(rows_of("n").alias("bad"))),
         ("No negative transaction amounts", s.fact_transactions.agg(F.count_if(F.col("amount") <= 0).alias("bad"))),
         ("Valid CSAT scores (1-5)", s.fact_service_logs.agg(F.count_if(~F.col("csat_score").between(1, 5)).alias("bad"))),
         ("Valid customer statuses", s.dim_customer.agg(F.count_if(~F.col("customer_status").isin(*STATUSES)).alias("bad"))),
@@ -251,7 +261,7 @@ def dqv_nulls(s: Star) -> DataFrame:
 def dqv_foreign_keys(s: Star) -> DataFrame:
     return union([
         result(
-            orphans(s, child, key, parent).agg(n().alias("detail")).withColumn("check", F.lit(f"fk_{key}")),
+            orphans(s, child, key, parent).agg(rows_of("n").alias("detail")).withColumn("check", F.lit(f"fk_{key}")),
             "dq", "foreign_key", F.lit(child), zero_or("FAIL"),
         )
         for child, key, parent in FOREIGN_KEYS
@@ -288,15 +298,96 @@ def dqv_future_dates(s: Star) -> DataFrame:
 
 @query
 def dqv_tables_present(s: Star) -> DataFrame:
-    """Every table of the model against those that the warehouse has."""
-    rows = [(t, 0.0 if t in {k for k in vars(s)} else 1.0) for t in schema.TABLES]
+    """Every table of the model against those that the warehouse's store has."""
+    there = s.stored()
+    rows = [(t, 0.0 if t in there else 1.0) for t in schema.TABLES]
     found = s.spark.createDataFrame(rows, "t string, detail double").withColumn("check", F.lit("table_exists"))
     return result(found, "dq", "table", F.col("t"), zero_or("FAIL"), critical=True)
 
 
-def dq_suite(s: Star) -> DataFrame:
-    jobs = (dqv_tables_present, dqv_row_minimum, dqv_pk_unique, dqv_nulls, dqv_foreign_keys, dqv_ranges, dqv_funnel, dqv_future_dates)
-    return union([job(s) for job in jobs])
+def wrong(s: Star) -> dict[str, dict[str, Column]]:
+    """What is counted in the rows of each table, by the name of the check."""
+    c = F.col
+    found = {t: {f"null_{x}": c(x).isNull() for x in CRITICAL.get(t, ())} for t in schema.TABLES}
+    found["dim_customer"] |= {"age_range": ~c("age").between(18, 100), "valid_status": ~c("customer_status").isin(*STATUSES)}
+    found["fact_service_logs"]["csat_range"] = ~c("csat_score").between(1, 5)
+    found["fact_transactions"] |= {
+        "positive_amounts": c("amount") <= 0,
+        "no_future_dates": F.to_date("transaction_date") > F.lit(s.as_of).cast("date"),
+    }
+    found["fact_campaign_responses"]["funnel_logic"] = broken_funnel()
+    return found
+
+
+def measured(s: Star) -> DataFrame:
+    """One row with, for each table, <table>__rows and <table>__<check>, and dup__<table> (keys that repeat) and
+    fk__<number> (rows whose key the parent lacks). Each table is read once."""
+    counted, frames = [], []
+    for t, conditions in wrong(s).items():
+        names = [f"{t}__rows", *(f"{t}__{name}" for name in conditions)]
+        flags = [F.lit(1).cast("long"), *(F.coalesce(rule.cast("long"), F.lit(0).cast("long")) for rule in conditions.values())]
+        counted += names
+        keys = [(f"fk__{i}", parent, key) for i, (child, key, parent) in enumerate(FOREIGN_KEYS) if child == t]
+        keys += [(f"dim__{t}", t, PRIMARY_KEYS[t])] if t in PRIMARY_KEYS else []
+        # A row stands once under each of its keys; what is wrong with it counts under the first.
+        places = [
+            F.struct(
+                F.lit(parent).alias("parent"), F.col(key).cast("long").alias("key"), F.lit(role).alias("role"),
+                *((flag if first else F.lit(0).cast("long")).alias(name) for flag, name in zip(flags, names)),
+            )
+            for first, (role, parent, key) in zip([True] + [False] * len(keys), keys)
+        ]
+        rows = getattr(s, t).select(F.inline(F.array(*places)))
+        roles = [F.count_if(F.col("role") == role).alias(role) for role, _, _ in keys]
+        frames.append(rows.groupBy("parent", "key").agg(*(F.sum(name).alias(name) for name in names), *roles))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    dims, fks = [f"dim__{t}" for t in PRIMARY_KEYS], [f"fk__{i}" for i in range(len(FOREIGN_KEYS))]
+    by_key = every.groupBy("parent", "key").agg(*(rows_of(name).alias(name) for name in [*counted, *dims, *fks]))
+    there = lambda parent: F.col(f"dim__{parent}") > 0
+    lost = [F.when(F.col("key").isNotNull() & ~there(parent), F.col(f"fk__{i}")) for i, (_, _, parent) in enumerate(FOREIGN_KEYS)]
+    return by_key.agg(
+        *(rows_of(name).alias(name) for name in counted),
+        *(F.count_if(F.col(f"dim__{t}") > 1).alias(f"dup__{t}") for t in PRIMARY_KEYS),
+        *(F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in zip(fks, lost)),
+    )
+
+
+def checks(s: Star) -> list[tuple[str, str, str, Column, Column]]:
+    """(category, table, check, detail, status) of the suite, over the columns of measured."""
+    c = F.col
+    zero = lambda x, bad: F.when(x == 0, "PASS").otherwise(bad)
+    found = []
+    for t, least in MINIMUM_ROWS.items():
+        found.append(("row_count", t, "row_count", c(f"{t}__rows"), F.when(c(f"{t}__rows") >= least, "PASS").otherwise("WARN")))
+    for t, key in PRIMARY_KEYS.items():
+        found.append(("primary_key", t, f"pk_{key}", c(f"dup__{t}"), zero(c(f"dup__{t}"), "FAIL")))
+    for t, names in CRITICAL.items():
+        for name in names:
+            share = rounded(F.coalesce(ratio(c(f"{t}__null_{name}") * 100.0, c(f"{t}__rows")), F.lit(0.0)), 4)
+            status = F.when(share == 0, "PASS").when(share < NULL_WARN_PCT, "WARN").otherwise("FAIL")
+            found.append(("nulls", t, f"null_{name}", share, status))
+    for i, (child, key, _) in enumerate(FOREIGN_KEYS):
+        found.append(("foreign_key", child, f"fk_{key}", c(f"fk__{i}"), zero(c(f"fk__{i}"), "FAIL")))
+    rules = (
+        ("range", "dim_customer", "age_range", "FAIL"), ("range", "dim_customer", "valid_status", "FAIL"),
+        ("range", "fact_service_logs", "csat_range", "FAIL"), ("range", "fact_transactions", "positive_amounts", "FAIL"),
+        ("business_rule", "fact_campaign_responses", "funnel_logic", "FAIL"),
+        ("temporal", "fact_transactions", "no_future_dates", "WARN"),
+    )
+    found += [(category, t, name, c(f"{t}__{name}"), zero(c(f"{t}__{name}"), bad)) for category, t, name, bad in rules]
+    return found
+
+
+def dq_suite(s: Star, row: DataFrame | None = None) -> DataFrame:
+    """All checks; row: what measured gives, if it is at hand."""
+    rows = F.array(*(
+        F.struct(
+            F.lit("dq").alias("suite"), F.lit(category).alias("category"), F.lit(table).alias("table"), F.lit(name).alias("check"),
+            status.alias("status"), detail.cast("double").alias("detail"), F.lit(False).alias("is_critical"),
+        )
+        for category, table, name, detail, status in checks(s)
+    ))
+    return dqv_tables_present(s).unionByName((row or measured(s)).select(F.inline(rows)))
 
 
 def scored(results: DataFrame, gate: float) -> DataFrame:

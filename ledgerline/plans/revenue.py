@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import avg, growth, n, ratio, rounded, share_of_total
+from ledgerline.functions import labels
+from ledgerline.functions.columns import avg, growth, n, ratio, rounded, share_of_total, tile_label
 from ledgerline.functions.ranking import with_tile
 from ledgerline.plans.registry import query
 from ledgerline.sources.warehouse import Star
@@ -137,13 +138,12 @@ def rev_top20_customers(s: Star) -> DataFrame:
 @query
 def rev_pareto(s: Star) -> DataFrame:
     tiled = with_tile(per_customer(s), [F.col("revenue").desc(), F.col("customer_id")], 5, "quintile")
-    labels = F.array(*map(F.lit, ("Top 20%", "21-40%", "41-60%", "61-80%", "Bottom 20%")))
     found = tiled.groupBy("quintile").agg(
         n().alias("customers"), F.sum("revenue").alias("exact"), avg("revenue", 0).alias("avg_revenue")
     )
     return (
         share_of_total(found, "exact", "share_pct")
-        .withColumn("label", F.element_at(labels, F.col("quintile").cast("int")))
+        .withColumn("label", tile_label("quintile", labels.PARETO))
         .withColumn("revenue", rounded(F.col("exact").cast("double"), 0))
         .drop("exact")
     )

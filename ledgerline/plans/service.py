@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import avg, band, n, pct, ratio, rounded, share_of_total
+from ledgerline.functions import labels
+from ledgerline.functions.columns import avg, banded, n, pct, ratio, rounded, share_of_total
 from ledgerline.plans.registry import query
 from ledgerline.sources.warehouse import Star
 
-SLA_BANDS = ((12, "0-12 Hours"), (24, "12-24 Hours"), (48, "24-48 Hours"), (72, "48-72 Hours"))
+
 MIN_COMPLAINTS = 50
 
 
@@ -53,7 +54,7 @@ def svc_by_tier_category(s: Star) -> DataFrame:
 
 @query
 def svc_sla_buckets(s: Star) -> DataFrame:
-    bucket = band("resolution_time_hours", *SLA_BANDS, otherwise="Over 72 Hours", closed=True).alias("bucket")
+    bucket = banded("resolution_time_hours", labels.RESOLUTION_HOURS, closed=True).alias("bucket")
     found = s.fact_service_logs.where("status = 'Resolved'").groupBy(bucket).agg(complaints())
     return share_of_total(found, "complaints", "share_pct")
 

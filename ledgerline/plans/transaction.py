@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import avg, band, growth, mean, n, pct, ratio, rounded, share_of_total, total
-from ledgerline.functions.ranking import with_tile
+from ledgerline.functions import labels
+from ledgerline.functions.columns import avg, banded, growth, mean, n, pct, ratio, rounded, share_of_total, tile_label, total
+from ledgerline.functions.ranking import percentiles, with_tile
 from ledgerline.plans.registry import query
 from ledgerline.plans.revenue import dated
 from ledgerline.sources.warehouse import Star
 
-COUNT_BANDS = ((20, "1-20"), (50, "21-50"), (100, "51-100"), (150, "101-150"))
-
-
 def volume(*more: F.Column) -> list[F.Column]:
     return [n().alias("transactions"), total("amount", 0).alias("volume"), avg("amount", 2).alias("avg_value"), *more]
 
@@ -25,30 +23,30 @@ def customers() -> F.Column:
 @query
 def txn_overview(s: Star) -> DataFrame:
     high = F.count_if("is_high_value")
-    return s.fact_transactions.agg(
+    middle = percentiles(s.fact_transactions, F.col("amount").cast("double"), {"median": 0.5})
+    found = s.fact_transactions.agg(
         *volume(customers()),
-        rounded(F.percentile(F.col("amount").cast("double"), 0.5), 2).alias("median_value"),
         F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"),
         high.alias("high_value"), pct(high, n()).alias("high_value_pct"),
     )
+    return found.crossJoin(middle.select(rounded(F.col("median"), 2).alias("median_value")))  # one row each
 
 
 @query
 def txn_quartiles(s: Star) -> DataFrame:
     """Ties at a quartile's edge do not matter: equal amounts are alike."""
     tiled = with_tile(s.fact_transactions.select("amount", "transaction_id"), [F.col("amount"), F.col("transaction_id")], 4, "quartile")
-    labels = F.array(*map(F.lit, ("Q1 (Lowest 25%)", "Q2 (25-50%)", "Q3 (50-75%)", "Q4 (Highest 25%)")))
     found = tiled.groupBy("quartile").agg(
         *volume(F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"), F.sum("amount").alias("exact"))
     )
     found = share_of_total(found, "exact", "share_pct").drop("exact")
-    return found.withColumn("label", F.element_at(labels, F.col("quartile").cast("int")))
+    return found.withColumn("label", tile_label("quartile", labels.AMOUNT_QUARTILES))
 
 
 @query
 def txn_count_bands(s: Star) -> DataFrame:
     counts = s.fact_transactions.groupBy("customer_id").agg(n().alias("ct"))
-    found = counts.groupBy(band("ct", *COUNT_BANDS, otherwise="150+", closed=True).alias("band")).agg(
+    found = counts.groupBy(banded("ct", labels.TRANSACTION_COUNT, closed=True).alias("band")).agg(
         n().alias("customers"), avg("ct", 1).alias("avg_transactions")
     )
     return share_of_total(found, "customers", "share_pct")
@@ -92,8 +90,7 @@ def txn_salary_week(s: Star) -> DataFrame:
 
 @query
 def txn_first_last(s: Star) -> DataFrame:
-    """By customer, as the measure's name says: span from first to last day, days since the last, most common first
-    and last category by status."""
+    """By status: mean span from each customer's first to last day, days since the last, and transactions."""
     day = F.to_date("transaction_date")
     mine = s.fact_transactions.groupBy("customer_id").agg(F.min(day).alias("first"), F.max(day).alias("last"), n().alias("ct"))
     since = F.datediff(F.lit(s.as_of).cast("date"), F.col("last"))

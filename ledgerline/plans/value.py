@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import avg, band, churn_pct, churned, dbl, mean, n, rounded, share_of_total, total
+from ledgerline.functions import labels
+from ledgerline.functions.columns import avg, banded, churn_pct, churned, dbl, mean, n, rounded, share_of_total, tile_label, total
 from ledgerline.functions.ranking import with_tile
 from ledgerline.plans.registry import query
 from ledgerline.sources.warehouse import Star
@@ -56,9 +57,8 @@ def clv_tiers(s: Star) -> DataFrame:
         n().alias("customers"), F.min(SPEND).alias("min_revenue"), F.max(SPEND).alias("max_revenue"),
         F.sum(SPEND).alias("exact"),
     )
-    labels = F.array(*map(F.lit, ("High Value (Top 33%)", "Medium Value (Middle 33%)", "Low Value (Bottom 33%)")))
     return share_of_total(found, "exact", "share_pct").select(
-        F.element_at(labels, F.col("tier").cast("int")).alias("tier"), "customers",
+        tile_label("tier", labels.VALUE_TIERS).alias("tier"), "customers",
         *(rounded(dbl(c), 0).alias(c) for c in ("min_revenue", "max_revenue")),
         rounded(dbl("exact"), 0).alias("revenue"), "share_pct",
     )
@@ -85,8 +85,7 @@ def churn_overall(s: Star) -> DataFrame:
 
 @query
 def churn_by_utilization(s: Star) -> DataFrame:
-    edges = ((0.1, "Low (< 10%)"), (0.4, "Medium (10-40%)"), (0.7, "High (40-70%)"))
-    return churn_by(s, band("credit_utilization_ratio", *edges, otherwise="Very High (70%+)").alias("band"))
+    return churn_by(s, banded("credit_utilization_ratio", labels.UTILIZATION).alias("band"))
 
 
 @query
@@ -96,23 +95,15 @@ def churn_by_inactivity(s: Star) -> DataFrame:
 
 @query
 def churn_by_spend_trend(s: Star) -> DataFrame:
-    edges = ((0.5, "Significant Decrease (<50%)"), (0.9, "Moderate Decrease (50-90%)"), (1.1, "Stable (90-110%)"))
-    return churn_by(s, band("amt_change_q4_q1", *edges, otherwise="Increase (>110%)").alias("band"))
+    return churn_by(s, banded("amt_change_q4_q1", labels.SPEND_TREND).alias("band"))
 
 
 def rfm_segment(r: str = "r_score", f: str = "f_score", m: str = "m_score") -> Column:
-    r, f, m = F.col(r), F.col(f), F.col(m)
-    low = lambda x: x <= 2
-    high = lambda x: x >= 4
-    return (
-        F.when(high(r) & high(f) & high(m), "1. Champions")
-        .when((r >= 3) & (f >= 3) & (m >= 3), "2. Loyal Customers")
-        .when(high(r) & low(f), "3. Recent Customers")
-        .when(low(r) & high(f), "4. At Risk (High Engagement)")
-        .when(low(r) & low(f) & high(m), "5. Cannot Lose Them")
-        .when(low(r) & low(f) & low(m), "6. Lost / Hibernating")
-        .otherwise("7. Average")
-    )
+    found = F
+    for label, *bounds in labels.RFM:
+        inside = [F.col(c).between(*bound) for c, bound in zip((r, f, m), bounds)]
+        found = found.when(inside[0] & inside[1] & inside[2], label)
+    return found.otherwise(labels.RFM_OTHER)
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.columns import (
     active, age_band, avg, churn_pct, churned, n, ratio, rounded, total,
 )
+from ledgerline.functions.ranking import percentiles
 from ledgerline.plans.campaign import conversion, steps
 from ledgerline.plans.registry import query
 from ledgerline.plans.revenue import dated, per_customer
@@ -186,7 +187,7 @@ def act_volume_drop(s: Star) -> DataFrame:
 def act_upgrade_candidates(s: Star) -> DataFrame:
     """Customers with an entry card and a value in the top quarter."""
     valued = with_clv(s.dim_customer)
-    edge = valued.agg(F.percentile(F.col("estimated_clv").cast("double"), 0.75).alias("edge"))  # one row
+    edge = percentiles(valued, F.col("estimated_clv").cast("double"), {"edge": 0.75})  # one row
     return valued.where("card_category = 'Blue'").crossJoin(F.broadcast(edge)).where(
         F.col("estimated_clv").cast("double") > F.col("edge")
     ).select("customer_id", "card_category", rounded(F.col("estimated_clv").cast("double"), 0).alias("clv"))

@@ -1,8 +1,9 @@
-"""The star schema as a loaded warehouse."""
+"""The star schema as a loaded warehouse: derived from the order-processing tables, built from raw files, or opened."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline import schema
 from ledgerline.sources import adapter
+from ledgerline.sources.files import exists
 from ledgerline.sources.storage import shared_dir
 
 
 @dataclass(frozen=True)
 class Star:
-    """The tables of one warehouse and the days that ages count up to."""
+    """The tables of one warehouse and the days that ages count up to. folder: where they are stored, or catalog: the
+    database that holds them."""
 
     spark: SparkSession
     sf_dir: str
@@ -28,28 +31,63 @@ class Star:
     fact_campaign_responses: DataFrame
     as_of: str = adapter.AS_OF
     events_as_of: str = adapter.EVENTS_AS_OF
+    folder: str | None = None
+    catalog: str | None = None
+
+    def stored(self) -> set[str]:
+        """The tables of the model that the store has now."""
+        if self.catalog:
+            return {t for t in schema.TABLES if self.spark.catalog.tableExists(f"{self.catalog}.{t}")}
+        if self.folder:
+            return {t for t in schema.TABLES if exists(self.spark, f"{self.folder}/{t}")}
+        return set()
 
 
 _loaded: dict[tuple[str, str], Star] = {}
 
 
+def store(tables: dict[str, Callable[[], DataFrame]], folder: str) -> None:
+    """Write tables, which do not depend on each other, below folder at the same time."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(lambda t: tables[t]().write.mode("overwrite").parquet(f"{folder}/{t}"), tables))
+
+
+def open_warehouse(
+    spark: SparkSession, folder: str, as_of: str = adapter.AS_OF, events_as_of: str = adapter.EVENTS_AS_OF
+) -> Star:
+    """A warehouse that was stored below folder before; a missing table is an error at its first use."""
+    tables = {t: spark.read.schema(kind).parquet(f"{folder}/{t}") for t, kind in schema.TABLES.items() if exists(spark, f"{folder}/{t}")}
+    missing = sorted(set(schema.TABLES) - set(tables))
+    if missing:
+        raise FileNotFoundError(f"{folder} lacks {', '.join(missing)}")
+    return Star(spark, folder, **tables, as_of=as_of, events_as_of=events_as_of, folder=folder)
+
+
+def open_catalog(
+    spark: SparkSession, database: str, as_of: str = adapter.AS_OF, events_as_of: str = adapter.EVENTS_AS_OF
+) -> Star:
+    """A warehouse whose tables lie in a database of the session's catalog."""
+    missing = [t for t in schema.TABLES if not spark.catalog.tableExists(f"{database}.{t}")]
+    if missing:
+        raise FileNotFoundError(f"{database} lacks {', '.join(missing)}")
+    tables = {t: spark.table(f"{database}.{t}") for t in schema.TABLES}
+    return Star(spark, database, **tables, as_of=as_of, events_as_of=events_as_of, catalog=database)
+
+
 def load(spark: SparkSession, sf_dir: str) -> Star:
-    """The warehouse of sf_dir, loaded at its first use in an application: each table is derived, written to the
-    shared folder and read from there."""
+    """The warehouse of sf_dir, derived at its first use in an application: each table is written to the shared folder
+    and read from there. forget drops it, after which changed input is seen."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _loaded:
         folder = f"{shared_dir(spark)}/warehouse-{uuid.uuid4().hex}"
-        lazy = adapter.star_tables(spark, sf_dir)
-
-        def store(name: str) -> DataFrame:
-            lazy[name].write.parquet(f"{folder}/{name}")
-            return spark.read.schema(schema.TABLES[name]).parquet(f"{folder}/{name}")
-
-        names = [name for name in schema.TABLES if name != "dim_customer"]
-        with ThreadPoolExecutor(len(names)) as pool:  # the jobs do not depend on each other
-            tables = dict(zip(names, pool.map(store, names)))
-        customers = adapter.dim_customer(spark, sf_dir, tables["fact_transactions"])
-        customers.write.parquet(f"{folder}/dim_customer")
-        tables["dim_customer"] = spark.read.schema(schema.DIM_CUSTOMER).parquet(f"{folder}/dim_customer")
-        _loaded[key] = Star(spark, sf_dir, **tables)
+        store({t: (lambda make=make: make(spark, sf_dir)) for t, make in adapter.INDEPENDENT.items()}, folder)
+        sales = spark.read.schema(schema.FACT_TRANSACTIONS).parquet(f"{folder}/fact_transactions")
+        store({"dim_customer": lambda: adapter.dim_customer(spark, sf_dir, sales)}, folder)
+        opened = open_warehouse(spark, folder)
+        tables = {t: getattr(opened, t) for t in schema.TABLES}
+        _loaded[key] = Star(spark, sf_dir, **tables, folder=folder)
     return _loaded[key]
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    _loaded.pop((spark.sparkContext.applicationId, sf_dir), None)
