@@ -75,6 +75,16 @@ def fit(train: DataFrame) -> Churn:
     return Churn(prepare, forest)
 
 
+def save(model: Churn, folder: str) -> None:
+    """Write the fitted stages below folder, in place of what is there."""
+    model.prepare.write().overwrite().save(f"{folder}/prepare")
+    model.forest.write().overwrite().save(f"{folder}/forest")
+
+
+def load(folder: str) -> Churn:
+    return Churn(PipelineModel.load(f"{folder}/prepare"), RandomForestClassificationModel.load(f"{folder}/forest"))
+
+
 def tier(p: F.Column) -> F.Column:
     out = F
     for edge, label in TIERS:

@@ -61,6 +61,16 @@ def fit(rows: DataFrame) -> Segments:
     return Segments(prepare, pca, min(runs, key=lambda m: m.summary.trainingCost))
 
 
+def save(model: Segments, folder: str) -> None:
+    """Write the fitted stages below folder, in place of what is there."""
+    for name, stage in model._asdict().items():
+        stage.write().overwrite().save(f"{folder}/{name}")
+
+
+def load(folder: str) -> Segments:
+    return Segments(PipelineModel.load(f"{folder}/prepare"), PCAModel.load(f"{folder}/pca"), KMeansModel.load(f"{folder}/kmeans"))
+
+
 def assign(model: Segments, rows: DataFrame) -> DataFrame:
     """rows with cluster_id, pca_x and pca_y."""
     found = model.kmeans.transform(model.pca.transform(model.prepare.transform(rows)))

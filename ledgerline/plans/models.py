@@ -1,6 +1,7 @@
 """What the models say, as queries, and the checks and analyses that rest on it.
 
-Models are fitted once for a warehouse in an application; their outputs are written to the shared folder.
+Models are fitted once for a warehouse in an application, or loaded where they were saved; their outputs are written to
+the shared folder.
 """
 
 from __future__ import annotations
@@ -34,16 +35,23 @@ class Fitted(NamedTuple):
 _fitted: dict[tuple[str, str], Fitted] = {}
 
 
-def fitted(s: Star) -> Fitted:
+def save(s: Star, folder: str) -> None:
+    """Save both models of the warehouse below folder."""
+    churn.save(fitted(s).churn, f"{folder}/churn")
+    segmentation.save(fitted(s).segmentation, f"{folder}/segmentation")
+
+
+def fitted(s: Star, saved: str | None = None) -> Fitted:
+    """The models of s and what they say; saved: the folder to load them from instead of fitting them."""
     key = (s.spark.sparkContext.applicationId, s.sf_dir)
     if key not in _fitted:
         rows = materialise(churn.split(churn.features(s.dim_customer)), "churn-rows")
-        model = churn.fit(rows.where("is_train"))
+        model = churn.load(f"{saved}/churn") if saved else churn.fit(rows.where("is_train"))
         parts = rows.select("customer_id", "is_train")
         scored = materialise(churn.score(model, rows).join(parts, "customer_id"), "churn-scored")
         forest = churn.trees(model, f"{shared_dir(s.spark)}/churn-forest-{id(model)}")
         behaviour = materialise(segmentation.features(s), "segment-rows")
-        seg = segmentation.fit(behaviour)
+        seg = segmentation.load(f"{saved}/segmentation") if saved else segmentation.fit(behaviour)
         _fitted[key] = Fitted(
             model, scored, materialise(churn.drivers(forest, scored), "churn-drivers"), seg,
             materialise(segmentation.segments(s, seg), "segments"),

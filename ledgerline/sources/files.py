@@ -1,4 +1,4 @@
-"""Files in and out: raw CSV inputs, CSV and JSON outputs, tables, saved models."""
+"""Files in and out: raw CSV inputs, CSV and JSON outputs, tables."""
 
 from __future__ import annotations
 
@@ -122,6 +122,20 @@ def missing_tables(spark: SparkSession, names: tuple[str, ...] = tuple(schema.TA
     return [name for name in names if not spark.catalog.tableExists(name)]
 
 
+def write_star(tables: dict[str, DataFrame], folder: str) -> None:
+    """Store tables of the model below folder, in the model's columns and types; columns that a table lacks are null.
+
+    A table of the model that is not given, or has no row, is stored without rows."""
+    unknown = sorted(set(tables) - set(schema.TABLES))
+    if unknown:
+        raise ValueError(f"no tables of the model: {', '.join(unknown)}")
+    spark = next(iter(tables.values())).sparkSession
+    for name, kind in schema.TABLES.items():
+        df = tables.get(name, spark.createDataFrame([], kind))
+        columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind]
+        df.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 # The seeded products (id, name, category, type, fee, interest, minimum balance, launch).
 PRODUCTS = (
     (1, "Savings Account", "Deposits", "Savings", 0, "3.50", "1000.00", "2010-01-01"),

@@ -43,3 +43,47 @@ def test_segments(spark, monkeypatch):
     assert found["cluster_id"].nunique() == segmentation.CLUSTERS
     assert found.groupby("cluster_id")["behavioral_segment"].nunique().eq(1).all()
     assert abs(found["pca_x"].mean()) < 1e-6
+
+
+def test_queries_on_models_equal_recomputation(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(churn, "TREES", 5)
+    monkeypatch.setattr(segmentation, "RESTARTS", 1)
+    from ledgerline.plans import models
+    from ledgerline.plans.value import with_clv
+
+    monkeypatch.setattr(models, "_fitted", {})
+    s = warehouse.load(spark, SF)
+    f = models.fitted(s)
+    scored, segments = f.scored.toPandas(), f.segments.toPandas()
+    assert models.bv_clusters(s).collect()[0]["detail"] == segments["cluster_id"].nunique()
+    tiers = {r.churn_risk_tier: (r.customers, r.share_pct) for r in models.bv_risk_tier_distribution(s).collect()}
+    counts = scored["churn_risk_tier"].value_counts()
+    assert {k: v[0] for k, v in tiers.items()} == counts.to_dict() and abs(sum(v[1] for v in tiers.values()) - 100) < 0.1
+    drivers = f.drivers.toPandas()
+    for r in models.bi_portfolio_risk(s).collect():
+        mine = drivers[drivers.churn_risk_tier == r.churn_risk_tier]
+        often = mine["top_risk_driver_1"].value_counts()
+        assert r.customers == len(mine) and r.main_driver == min(often[often == often.max()].index)
+        assert abs(r.avg_probability - mine["churn_probability"].mean()) < 1e-4
+    scatter = models.bi_segment_scatter(s).toPandas().set_index("customer_id")
+    assert np.allclose(scatter.loc[segments.customer_id, ["pca_x", "pca_y"]], segments[["pca_x", "pca_y"]])
+    high = scored.set_index("customer_id")["churn_probability"][lambda p: p > churn.TIERS[1][0]]
+    logs = s.fact_service_logs.toPandas()
+    open_ = logs[((logs.status != "Resolved") | logs.escalation_flag.fillna(False)) & logs.customer_id.isin(high.index)]
+    assert sorted(r.service_id for r in models.act_ticket_routing(s).collect()) == sorted(open_.service_id)
+    edge = np.quantile(scored["churn_probability"], 0.9)
+    valued = with_clv(s.dim_customer).select("customer_id", "estimated_clv").toPandas().set_index("customer_id")["estimated_clv"]
+    want = sorted(c for c, p in zip(scored.customer_id, scored.churn_probability) if p >= edge - 1e-12 and valued[c] is not None and valued[c] > models.HIGH_CLV)
+    assert sorted(r.customer_id for r in models.act_high_value_at_risk(s).collect()) == want
+    answers = s.fact_campaign_responses.toPandas().merge(segments[["customer_id", "behavioral_segment"]], on="customer_id")
+    assert {r.behavioral_segment: r.targeted for r in models.act_segment_conversion(s).collect()} == answers.groupby("behavioral_segment").size().to_dict()
+    raw = churn.features(s.dim_customer).join(f.scored.select("customer_id", "is_train"), "customer_id").where("is_train").toPandas()
+    for r in models.ml_churn_scale(s).collect():
+        x = raw[r.feature].fillna(raw[r.feature].mean())
+        assert np.isclose(r["mean"], x.mean()) and np.isclose(r["std"], x.std(ddof=1))
+    models.save(s, f"file://{tmp_path}/models")
+    before = {r.customer_id: r.churn_probability for r in models.ml_churn_score(s).collect()}
+    monkeypatch.setattr(models, "_fitted", {})
+    loaded = models.fitted(s, f"file://{tmp_path}/models")
+    assert {r.customer_id: r.churn_probability for r in models.ml_churn_score(s).collect()} == before
+    assert loaded.segments.select("customer_id", "cluster_id").exceptAll(f.segments.select("customer_id", "cluster_id")).isEmpty()
