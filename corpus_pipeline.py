@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import packing, quality, secrets, simhash
@@ -13,9 +13,16 @@ from ledgerline.llm.common import materialise, read_table
 REDACTED = "[SECRET]"
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one, __row, so that none of them meets a column that a stage adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Null and empty texts go, as do all of under 50 words."""
-    return quality.quality(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep, with all their columns as they were, whatever these are called. Null and
+    empty texts go, as do all of under 50 words; rows that repeat are judged alike."""
+    judged = quality.quality(docs.select("text", whole_row(docs)))
+    return judged.where("kept").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,30 +35,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     marked = simhash.near_duplicates(docs.select("doc_id", "text", key), carried=("__key",))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "__key")).alias("first")
     stay = marked.groupBy("root").agg(first).select("first.__key")
-    order = Window.partitionBy("__key").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0))
+    others = [F.col(f"__row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("__key").orderBy(*others, F.lit(0))
     return (
-        docs.select("*", key)
+        docs.select(key, whole_row(docs))
         .join(stay, "__key", "left_semi")
         .withColumn("__n", F.row_number().over(order))
         .where("__n = 1")
-        .select(*docs.columns)
+        .select("__row.*")
     )
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in the text replaced by REDACTED and n_chars set anew where text changed."""
-    found = secrets.with_spans(docs, secrets.fit(docs), redact=REDACTED)
+    """All documents, with every secret in the text replaced by REDACTED and n_chars set anew where text changed.
+
+    Other columns stay as they were, whatever these are called. A null text stays null; rows that repeat are redacted
+    alike; an empty table gives an empty table.
+    """
+    numbered = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # so that no column meets the scan's own
+    renamed = docs.select(*(F.col(f"`{c}`").alias(name) for c, name in numbered.items()))
+    found = secrets.with_spans(renamed, secrets.fit(docs), text_col=numbered["text"], redact=REDACTED)
+    columns = {c: F.col(name) for c, name in numbered.items()}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        n_chars = F.when(F.size("spans") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(kind)
-        found = found.withColumn("n_chars", n_chars)
-    return found.select(*docs.columns)
+        n_chars = F.when(F.size("spans") > 0, F.char_length(numbered["text"])).otherwise(columns["n_chars"])
+        columns["n_chars"] = n_chars.cast(kind)
+    return found.select(*(column.alias(c) for c, column in columns.items()))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their token ids and their place in a training sequence."""
-    pieces = materialise(packing.token_pieces(docs), "pieces")
-    return packing.pack(pieces, "length", ["doc_id", "piece"])
+    """The pieces of all documents with their token ids and their place in a training sequence; a null text has the
+    end id alone, rows that repeat are packed once each, and columns other than doc_id and text are left out."""
+    return packing.pack(packing.token_pieces(docs), "length")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
