@@ -8,6 +8,8 @@ within the row: no shuffle, no Python, and every text is read whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,11 +144,12 @@ def word_distance(words: Column) -> Column:
     return let(let(found, counted), compared)
 
 
-def repeated_words(words: Column) -> Column:
+def repeated_words(words: Column, hash_of: Callable[..., Column] = F.xxhash64) -> Column:
     """How many of words lie in a window of three words that occurs twice or more among all windows.
 
     Each window becomes one number, its hash above and its place below; after sorting, equal windows are
-    neighbours, whose words are then compared.
+    neighbours, whose words are then compared. Other windows with the same hash may lie between them: where three or
+    more share it and the neighbours differ, all of these are compared.
     """
 
     def marked(n: Column) -> Column:
@@ -156,22 +159,27 @@ def repeated_words(words: Column) -> Column:
             window = lambda i: [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
             packed = F.transform(
                 F.sequence(F.lit(0), n - 3),
-                lambda i: F.xxhash64(*window(i)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")),
+                lambda i: hash_of(*window(i)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")),
             )
 
-            def same(s: Column, x: Column, j: Column) -> Column:
-                y = F.get(s, j)
-                a, b = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
+            def repeats(s: Column, x: Column, j: Column) -> Column:
+                shares = lambda y: F.coalesce(x.bitwiseOR(mask) == y.bitwiseOR(mask), F.lit(False))
+                place = lambda y: y.bitwiseAND(mask).cast("int")
+                equal = lambda y: F.struct(*window(place(x))) == F.struct(*window(place(y)))
+                beside = lambda k: F.get(s, j + k)
+                near = lambda k: shares(beside(k)) & equal(beside(k))
+                three = (shares(beside(-1)) & shares(beside(1))) | shares(beside(-2)) | shares(beside(2))
+                anywhere = F.exists(s, lambda y: (y != x) & shares(y) & equal(y))
                 return F.when(
-                    x.bitwiseOR(mask) == y.bitwiseOR(mask),
-                    F.struct(*window(a)) == F.struct(*window(b)),
+                    shares(beside(-1)) | shares(beside(1)),
+                    F.when(near(-1) | near(1), F.lit(True)).when(three, anywhere).otherwise(F.lit(False)),
                 ).otherwise(F.lit(False))
 
             return let(
                 F.sort_array(packed),
                 lambda s: F.sort_array(
                     F.transform(
-                        F.filter(s, lambda x, j: same(s, x, j - 1) | same(s, x, j + 1)),
+                        F.filter(s, lambda x, j: repeats(s, x, j)),
                         lambda x: x.bitwiseAND(mask),
                     )
                 ),
