@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import dbl, mean, n, ratio, rounded
 from ledgerline.plans.quality import (
-    FOREIGN_KEYS, PRIMARY_KEYS, broken_funnel, dqv_foreign_keys, dqv_pk_unique, measured, result, rows_of, scored, union, unpivot,
+    FOREIGN_KEYS, PRIMARY_KEYS, broken_funnel, measured, result, rows_of, scored, suite_rows, union, unpivot,
 )
 from ledgerline.plans.registry import query
 from ledgerline.plans.value import clv_base
@@ -171,9 +171,12 @@ def bv_clv_correlation(s: Star) -> DataFrame:
 @query
 def bv_warehouse_integrity(s: Star) -> DataFrame:
     """Orphans and duplicate keys, from the data quality suite. detail: failed checks."""
-    failed = F.count_if(F.col("status") == "FAIL").alias("detail")
-    keys = row(dqv_foreign_keys(s).agg(failed), "star_schema", "warehouse", F.col("detail") == 0, critical=True)
-    return keys.unionByName(row(dqv_pk_unique(s).agg(failed), "duplicate_keys", "warehouse", F.col("detail") == 0))
+    failed = suite_rows(s, "foreign_key", "primary_key").where("status = 'FAIL'")
+    of = lambda category: F.count_if(F.col("category") == category).cast("double")
+    found = failed.agg(of("foreign_key").alias("star_schema"), of("primary_key").alias("duplicate_keys"))
+    rows = unpivot(found, ["star_schema", "duplicate_keys"])
+    status = F.when(F.col("detail") == 0, "PASS").otherwise("FAIL")
+    return result(rows, "business", "warehouse", F.lit(""), status).withColumn("is_critical", F.col("check") == "star_schema")
 
 
 #: The tables that dashboards need.

@@ -207,18 +207,21 @@ def dq_reconciliation(s: Star) -> DataFrame:
 @query
 def dq_summary(s: Star) -> DataFrame:
     """Six named checks; the funnel check here leaves out the step from contacted to opened."""
-    counts = [
-        ("No duplicate customer IDs", s.dim_customer.groupBy("customer_id").agg(n().alias("n")).where("n > 1").agg(n().alias("bad"))),
-        ("No orphan transactions", orphans(s, "fact_transactions", "customer_id", "dim_customer").agg(rows_of("n").alias("bad"))),
-        ("No negative transaction amounts", s.fact_transactions.agg(F.count_if(F.col("amount") <= 0).alias("bad"))),
-        ("Valid CSAT scores (1-5)", s.fact_service_logs.agg(F.count_if(~F.col("csat_score").between(1, 5)).alias("bad"))),
-        ("Valid customer statuses", s.dim_customer.agg(F.count_if(~F.col("customer_status").isin(*STATUSES)).alias("bad"))),
-        ("Campaign funnel integrity", s.fact_campaign_responses.agg(F.count_if(broken_funnel(False)).alias("bad"))),
-    ]
-    return union([
-        df.select(F.lit(name).alias("check_name"), F.when(F.col("bad") == 0, "PASS").otherwise("FAIL").alias("status"))
-        for name, df in counts
-    ])
+    # The names of the checks, and where each is counted.
+    bad = {
+        "No duplicate customer IDs": "dup__dim_customer",
+        "No orphan transactions": "fk__0",
+        "No negative transaction amounts": "fact_transactions__positive_amounts",
+        "Valid CSAT scores (1-5)": "fact_service_logs__csat_range",
+        "Valid customer statuses": "dim_customer__valid_status",
+        "Campaign funnel integrity": "fact_campaign_responses__funnel_steps",
+    }
+    rows = F.array(*(
+        F.struct(F.lit(name).alias("check_name"), F.when(F.col(c) == 0, "PASS").otherwise("FAIL").alias("status"))
+        for name, c in bad.items()
+    ))
+    tables = ("dim_customer", "fact_transactions", "fact_service_logs", "fact_campaign_responses")
+    return measured(s, tables).select(F.inline(rows))
 
 
 # The suite.
@@ -259,13 +262,7 @@ def dqv_nulls(s: Star) -> DataFrame:
 
 @query
 def dqv_foreign_keys(s: Star) -> DataFrame:
-    return union([
-        result(
-            orphans(s, child, key, parent).agg(rows_of("n").alias("detail")).withColumn("check", F.lit(f"fk_{key}")),
-            "dq", "foreign_key", F.lit(child), zero_or("FAIL"),
-        )
-        for child, key, parent in FOREIGN_KEYS
-    ])
+    return suite_rows(s, "foreign_key")
 
 
 @query
@@ -315,19 +312,22 @@ def wrong(s: Star) -> dict[str, dict[str, Column]]:
         "positive_amounts": c("amount") <= 0,
         "no_future_dates": F.to_date("transaction_date") > F.lit(s.as_of).cast("date"),
     }
-    found["fact_campaign_responses"]["funnel_logic"] = broken_funnel()
+    found["fact_campaign_responses"] |= {"funnel_logic": broken_funnel(), "funnel_steps": broken_funnel(False)}
     return found
 
 
-def measured(s: Star) -> DataFrame:
-    """One row with, for each table, <table>__rows and <table>__<check>, and dup__<table> (keys that repeat) and
-    fk__<number> (rows whose key the parent lacks). Each table is read once."""
+def measured(s: Star, tables: tuple[str, ...] = tuple(schema.TABLES)) -> DataFrame:
+    """One row with, for each of tables, <table>__rows and <table>__<check>, dup__<table> (keys that repeat) and
+    fk__<number> (rows whose key the parent lacks, where both are of tables). Each table is read once."""
     counted, frames = [], []
+    links = {i: fk for i, fk in enumerate(FOREIGN_KEYS) if fk[0] in tables and fk[2] in tables}
     for t, conditions in wrong(s).items():
+        if t not in tables:
+            continue
         names = [f"{t}__rows", *(f"{t}__{name}" for name in conditions)]
         flags = [F.lit(1).cast("long"), *(F.coalesce(rule.cast("long"), F.lit(0).cast("long")) for rule in conditions.values())]
         counted += names
-        keys = [(f"fk__{i}", parent, key) for i, (child, key, parent) in enumerate(FOREIGN_KEYS) if child == t]
+        keys = [(f"fk__{i}", parent, key) for i, (child, key, parent) in links.items() if child == t]
         keys += [(f"dim__{t}", t, PRIMARY_KEYS[t])] if t in PRIMARY_KEYS else []
         # A row stands once under each of its keys; what is wrong with it counts under the first.
         places = [
@@ -341,13 +341,13 @@ def measured(s: Star) -> DataFrame:
         roles = [F.count_if(F.col("role") == role).alias(role) for role, _, _ in keys]
         frames.append(rows.groupBy("parent", "key").agg(*(F.sum(name).alias(name) for name in names), *roles))
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    dims, fks = [f"dim__{t}" for t in PRIMARY_KEYS], [f"fk__{i}" for i in range(len(FOREIGN_KEYS))]
+    dims, fks = [f"dim__{t}" for t in PRIMARY_KEYS if t in tables], [f"fk__{i}" for i in links]
     by_key = every.groupBy("parent", "key").agg(*(rows_of(name).alias(name) for name in [*counted, *dims, *fks]))
     there = lambda parent: F.col(f"dim__{parent}") > 0
-    lost = [F.when(F.col("key").isNotNull() & ~there(parent), F.col(f"fk__{i}")) for i, (_, _, parent) in enumerate(FOREIGN_KEYS)]
+    lost = [F.when(F.col("key").isNotNull() & ~there(parent), F.col(f"fk__{i}")) for i, (_, _, parent) in links.items()]
     return by_key.agg(
         *(rows_of(name).alias(name) for name in counted),
-        *(F.count_if(F.col(f"dim__{t}") > 1).alias(f"dup__{t}") for t in PRIMARY_KEYS),
+        *(F.count_if(F.col(name) > 1).alias(name.replace("dim__", "dup__", 1)) for name in dims),
         *(F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in zip(fks, lost)),
     )
 
@@ -378,16 +378,21 @@ def checks(s: Star) -> list[tuple[str, str, str, Column, Column]]:
     return found
 
 
-def dq_suite(s: Star, row: DataFrame | None = None) -> DataFrame:
-    """All checks; row: what measured gives, if it is at hand."""
+def suite_rows(s: Star, *categories: str) -> DataFrame:
+    """The checks of the categories, or of all, but for that of the tables themselves."""
     rows = F.array(*(
         F.struct(
             F.lit("dq").alias("suite"), F.lit(category).alias("category"), F.lit(table).alias("table"), F.lit(name).alias("check"),
             status.alias("status"), detail.cast("double").alias("detail"), F.lit(False).alias("is_critical"),
         )
         for category, table, name, detail, status in checks(s)
+        if category in categories or not categories
     ))
-    return dqv_tables_present(s).unionByName((row or measured(s)).select(F.inline(rows)))
+    return measured(s).select(F.inline(rows))
+
+
+def dq_suite(s: Star) -> DataFrame:
+    return dqv_tables_present(s).unionByName(suite_rows(s))
 
 
 def scored(results: DataFrame, gate: float) -> DataFrame:

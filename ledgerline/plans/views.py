@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from ledgerline.functions.columns import (
 )
 from ledgerline.functions.ranking import percentiles
 from ledgerline.plans.campaign import conversion, steps
-from ledgerline.plans.registry import query
+from ledgerline.functions.columns import longs
+from ledgerline.plans.registry import QUERIES, query
 from ledgerline.plans.revenue import dated, per_customer
 from ledgerline.plans.service import escalation
 from ledgerline.plans.value import rfm_customer, with_clv
@@ -203,3 +206,27 @@ def act_final6m_resolution(s: Star) -> DataFrame:
         n().alias("complaints"), avg("resolution_time_hours", 1).alias("avg_hours")
     )
 
+
+def view_jobs(*names: str) -> dict[str, Callable[[Star], DataFrame]]:
+    """The jobs that dashboards read, or those of them that are named."""
+    found = {name: job for name, job in QUERIES.items() if name.startswith(("v_", "bi_"))}
+    unknown = sorted(set(names) - set(found))
+    if unknown:
+        raise ValueError(f"no views: {', '.join(unknown)}")
+    return {name: job for name, job in found.items() if name in names or not names}
+
+
+def create_views(s: Star, *names: str) -> list[str]:
+    """Make all views, or those that are named, temporary views of the session; their names."""
+    jobs = view_jobs(*names)
+    for name, job in jobs.items():
+        longs(job(s)).createOrReplaceTempView(name)
+    return list(jobs)
+
+
+def save_views(s: Star, database: str, *names: str) -> list[str]:
+    """Store all views, or those that are named, as tables of a database in place of what is there; their names."""
+    jobs = view_jobs(*names)
+    for name, job in jobs.items():
+        longs(job(s)).write.mode("overwrite").saveAsTable(f"{database}.{name}")
+    return list(jobs)

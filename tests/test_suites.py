@@ -48,6 +48,8 @@ def test_dq_suite_equals_single_checks(spark, damaged, kind):
     s = damaged if kind == "damaged" else warehouse.load(spark, SF)
     found = rows(quality.dq_suite(s))
     near(found, rows(quality.union([job(s) for job in SINGLE])))
+    lost = {(f"fk_{key}", child): quality.orphan_count(s, child, key, parent).first()[0] for child, key, parent in quality.FOREIGN_KEYS}
+    assert {(c, t): detail for c, t, kind, _, detail, _ in found if kind == "foreign_key"} == lost
     assert len(found) > 40
     if kind == "damaged":
         status = {(c, t): x for c, t, _, x, _, _ in found}
@@ -142,3 +144,19 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session())
+
+
+def test_views_of_a_session_and_of_a_database(spark):
+    from ledgerline.plans import views
+
+    s = warehouse.load(spark, SF)
+    names = views.create_views(s, "v_executive_kpis", "v_customer_360", "bi_customer_overview")
+    assert names == sorted(names, key=list(views.view_jobs()).index) and len(names) == 3
+    assert spark.sql("SELECT count(*) FROM v_customer_360").first()[0] == s.dim_customer.count()
+    assert set(views.view_jobs()) >= {"v_campaign_funnel", "v_transaction_heatmap", "bi_transaction_timeline"}
+    spark.sql("CREATE DATABASE IF NOT EXISTS view_tests")
+    assert views.save_views(s, "view_tests", "v_campaign_funnel") == ["v_campaign_funnel"]
+    assert spark.table("view_tests.v_campaign_funnel").count() == views.v_campaign_funnel(s).count()
+    spark.sql("DROP DATABASE view_tests CASCADE")
+    with pytest.raises(ValueError, match="v_none"):
+        views.create_views(s, "v_none")
