@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import (
-    active, age_band, avg, churn_pct, churned, n, ratio, rounded, total,
+    active, age_band, avg, churn_pct, churned, longs, n, ratio, rounded, total,
 )
 from ledgerline.functions.ranking import percentiles
 from ledgerline.plans.campaign import conversion, steps
-from ledgerline.functions.columns import longs
 from ledgerline.plans.registry import QUERIES, query
 from ledgerline.plans.revenue import dated, per_customer
 from ledgerline.plans.service import escalation
