@@ -90,6 +90,7 @@ def round_trip(
 
 
 def op7_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document as digests; see encode and decode for nulls, empty texts and repeats."""
     return round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -267,6 +267,7 @@ def read_archives(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back; see write_archives for nulls, empty payloads, ties and repeats."""
     return read_archives(write_archives(read_table(spark, sf_dir, "pages"), scratch_path(spark, "warc")))
 
 
