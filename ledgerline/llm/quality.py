@@ -69,21 +69,42 @@ def without(text: Column, pattern: str) -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
 
 
-def class_distance(text: Column) -> Column:
-    """Distance of the character-class histogram of text to the reference; null for an empty text."""
-    counted = [without(text, pattern) for pattern, _ in CLASSES.values() if pattern]
+def symbols_and_class_distance(text: Column, words: Column) -> Column:
+    """(n_symbols, class_distance) of text, which words are the words of: how many SYMBOLS it holds, and the distance of
+    its character-class histogram to the reference, null for an empty text.
+
+    No character is of two classes, nor both a symbol and of a class with a pattern. So each class is taken out of what
+    the classes before it leave, which is short once white space and lower-case letters are gone.
+    """
+    patterns = {name: pattern for name, (pattern, _) in CLASSES.items() if pattern and name != "space"}
+
+    names = [name for name in CLASSES if name == "space" or name in patterns]
 
     def compared(n: Column) -> Column:
-        known = [F.get(n, F.lit(i)) for i in range(len(counted))]
-        total = F.get(n, F.lit(len(counted)))
+        known = [F.get(n, F.lit(i)) for i in range(len(names))]
+        symbols, total = F.get(n, F.lit(len(names))), F.get(n, F.lit(len(names) + 1))
         shares = [k / total for k in known]
         shares.append((total - sum(known[1:], known[0])) / total)
-        terms = [
-            half(p, q) + half(F.lit(q), p) for p, (_, q) in zip(shares, CLASSES.values())
-        ]
-        return F.when(total > 0, distance(sum(terms[1:], terms[0]) / 2))
+        terms = [half(p, q) + half(F.lit(q), p) for p, (_, q) in zip(shares, CLASSES.values())]
+        far = F.when(total > 0, distance(sum(terms[1:], terms[0]) / 2))
+        return F.struct(
+            symbols.cast("long").alias("n_symbols"), F.when(total >= MIN_CLASS_CHARS, far).alias("class_distance")
+        )
+
+    def taken(rest: Column, left: list[str], sizes: dict[str, Column]) -> Column:
+        if not left:
+            counted = [*(sizes[name] for name in names), without(rest, SYMBOLS), F.char_length(text)]
+            return let(F.array(*counted), compared)
+        name = left[0]
+        return let(
+            F.regexp_replace(rest, patterns[name], ""),
+            lambda less: taken(less, left[1:], sizes | {name: F.char_length(rest) - F.char_length(less)}),
+        )
 
-    return let(F.array(*counted, F.char_length(text)), compared)
+    return let(
+        F.array_join(words, ""),
+        lambda solid: taken(solid, list(patterns), {"space": F.char_length(text) - F.char_length(solid)}),
+    )
 
 
 def word_distance(words: Column) -> Column:
@@ -92,7 +113,7 @@ def word_distance(words: Column) -> Column:
     All words that are not in a language's list are one entry of its histogram.
     """
     every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-    found = F.array_sort(F.filter(words, lambda w: w.isin(every)))
+    found = F.sort_array(F.filter(words, lambda w: w.isin(every)))
 
     def counted(s: Column) -> Column:
         """(word, count) of the sorted words s."""
@@ -147,9 +168,9 @@ def word_distance(words: Column) -> Column:
 def repeated_words(words: Column, hash_of: Callable[..., Column] = F.xxhash64) -> Column:
     """How many of words lie in a window of three words that occurs twice or more among all windows.
 
-    Each window becomes one number, its hash above and its place below; after sorting, equal windows are
-    neighbours, whose words are then compared. Other windows with the same hash may lie between them: where three or
-    more share it and the neighbours differ, all of these are compared.
+    Each window becomes one number, its hash above and its place below; after sorting, windows that share a hash are
+    neighbours, and the others are done with. Neighbours' words are compared. Other windows with the same hash may lie
+    between them: where three or more share it and the neighbours differ, all of these are compared.
     """
 
     def marked(n: Column) -> Column:
@@ -175,8 +196,16 @@ def repeated_words(words: Column, hash_of: Callable[..., Column] = F.xxhash64) -
                     F.when(near(-1) | near(1), F.lit(True)).when(three, anywhere).otherwise(F.lit(False)),
                 ).otherwise(F.lit(False))
 
+            def shared(s: Column) -> Column:
+                """What of the sorted s has a neighbour between the least and the largest number of its hash."""
+                return F.filter(
+                    s,
+                    lambda x, j: (F.get(s, j + 1) <= x.bitwiseOR(mask))
+                    | (F.get(s, j - 1) >= x.bitwiseAND(F.bitwise_not(mask))),
+                )
+
             return let(
-                F.sort_array(packed),
+                let(F.sort_array(packed), shared),
                 lambda s: F.sort_array(
                     F.transform(
                         F.filter(s, lambda x, j: repeats(s, x, j)),
@@ -208,14 +237,17 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def judged(words: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-        return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            without(text, SYMBOLS).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            repeated_words(words).alias("n_repeat_words"),
-            F.when(F.char_length(text) >= MIN_CLASS_CHARS, class_distance(text)).alias("class_distance"),
-            F.when(F.size(words) >= MIN_COMMON_WORDS, word_distance(words)).alias("word_distance"),
+        return let(
+            symbols_and_class_distance(text, words),
+            lambda characters: F.struct(
+                F.size(words).cast("long").alias("n_words"),
+                F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+                characters["n_symbols"].alias("n_symbols"),
+                let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+                repeated_words(words).alias("n_repeat_words"),
+                characters["class_distance"].alias("class_distance"),
+                F.when(F.size(words) >= MIN_COMMON_WORDS, word_distance(words)).alias("word_distance"),
+            ),
         )
 
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance")
