@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edits, neighbours, packing, quality, secrets, sharding, simhash, tokens, tools, warc
+from . import edits, negatives, neighbours, packing, pages, quality, secrets, sharding, simhash, spelling, tokens, tools, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_collision_counting": neighbours.op8_collision_counting,
         "op10_min_cost_flow_reshard": sharding.op10_min_cost_flow_reshard,
         "op9_simhash_bk_tree": simhash.op9_simhash_bk_tree,
+        "op11_inverted_multi_index": negatives.op11_inverted_multi_index,
+        "op12_line_block_text": pages.op12_line_block_text,
+        "op13_variable_gram_variants": spelling.op13_variable_gram_variants,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_divergence": quality.oracle_sql(),
         "op5_warc_dictionary": warc.ORACLE_SQL,
+        "op11_inverted_multi_index": negatives.ORACLE_SQL,
+        "op12_line_block_text": pages.ORACLE_SQL,
     }
