@@ -95,4 +95,5 @@ def test_odd_rows(spark, edge_docs, table):
     text = "Straße STRASSE straßen ÉCOLES écoles x×y÷zabc " * 10
     docs = table([(i, t, "x", "y") for i, t in ((None, text), (7, text), (7, text), (8, None))], "doc_id long, text string, word string, n string")
     got = result(spelling.group_variants(spelling.occurrences(docs)))
-    assert got == brute(counted([(None, text), (7, text), (7, text)])) and "École".lower() not in got and "École"[0] + "coles" not in got
+    assert got == brute(counted([(None, text), (7, text), (7, text)]))
+    assert {"Écoles", "écoles", "x×y÷zabc", "strasse"} <= set(got)
