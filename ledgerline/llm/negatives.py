@@ -59,10 +59,13 @@ def nearest_code(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.argmin((book**2).sum(axis=1) - 2 * (x @ book.T), axis=1)
 
 
-def fit_codebooks(entries: DataFrame, codes: int = CODES) -> Codebooks:
-    """Both halves' codewords by vector length, from the SAMPLE vectors with the smallest hashes. Lengths that the sample
-    lacks are indexed under one codeword at the origin."""
-    sample = entries.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(SAMPLE).collect()
+def fit_codebooks(entries: DataFrame, n: int, codes: int = CODES) -> Codebooks:
+    """Both halves' codewords by vector length, from the SAMPLE vectors with the smallest hashes of n entries. Lengths
+    that the sample lacks are indexed under one codeword at the origin."""
+    # About twice as many as wanted pass, whatever n is, so the driver does not get SAMPLE rows of every task.
+    passing = int(min(1.0, 2 * SAMPLE / max(n, 1)) * (1 << 30))
+    hashed = entries.select("v", F.xxhash64("v").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < passing).distinct()
+    sample = hashed.orderBy("h").limit(SAMPLE).collect()
     by_length: dict[int, list[list[int]]] = {}
     for row in sample:
         by_length.setdefault(len(row["v"]), []).append(row["v"])
@@ -164,7 +167,7 @@ def best_negatives(
         rows, scores = rows[usable], scores[usable]
         for p in list(open_):
             least = found[p][k - 1][0] if len(found[p]) >= k else -np.inf
-            hits = np.flatnonzero((2 * scores >= p) & (20 * scores <= 19 * p) & (scores >= least))
+            hits = np.flatnonzero((scores >= -(-p // 2)) & (scores <= 19 * p // 20) & (scores >= least))
             if len(hits):
                 new = [(int(scores[r]), i) for r in hits for i in ids[cells.order[rows[r]]]]
                 found[p] = sorted({*found[p], *new}, key=lambda f: (-f[0], f[1]))[:k]
@@ -241,7 +244,8 @@ def _search(index: DataFrame, anchors: DataFrame, shards: int, books: Codebooks,
                     yield from search(*shard, part)
 
     by = ("length", "shard")
-    met = indexed.unionByName(asking).repartition(max(shards, partitions(spark)), *by).sortWithinPartitions(*by, "asks", "label", "ids", "key")
+    # Several partitions a shard, so that few shards share one by their hashes.
+    met = indexed.unionByName(asking).repartition(max(4 * shards, partitions(spark)), *by).sortWithinPartitions(*by, "asks", "label", "ids", "key")
     return met.mapInArrow(run, answer)
 
 
@@ -307,7 +311,7 @@ def hard_negatives(
     if shards is None:
         spread = min(partitions(vectors.sparkSession), -(-n // LEAST_VECTORS))
         shards = max(1, -(-components // SHARD_COMPONENTS), spread)
-    books = fit_codebooks(entries, codes)
+    books = fit_codebooks(entries, n, codes)
     index = index_of(entries, shards, books, max(n_positives + 1, n_negatives))
     key = F.concat_ws("/", "id", "label", F.xxhash64("v")).alias("key")
     asking = entries.where(anchors).select(key, "id", "label", "v")

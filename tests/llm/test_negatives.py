@@ -47,7 +47,7 @@ def test_equals_brute_force_with_ties_copies_and_odd_rows(spark, table):
 
 
 def test_large_components(spark, table):
-    rows = [(i * 50, [float(1 << 23) + i, 3.0], i % 2) for i in range(4)]
+    rows = [(i * 50, [float(1 << 21) + i, 3.0], i % 2) for i in range(4)]
     assert result(negatives.hard_negatives(table([(*r, "", "") for r in rows], DDL), F.lit(True))) == brute(rows, lambda i: True)
     wide = table([(i, [1e300, 1.0], i % 2, "", "") for i in range(4)], DDL)
     with pytest.raises(Exception, match="(?i)too large|overflow|out of range"):
