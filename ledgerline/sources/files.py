@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline import schema
 from ledgerline.operators import transforms as X
+from ledgerline.sources.checked import QUOTE, Checked, check
 
 # Columns of the raw customer file, and their types.
 CUSTOMER_COLUMNS = {
@@ -25,18 +28,15 @@ DROPPED = ("Naive", "Bayes")
 TRANSACTION_COLUMNS = {"trans_date_trans_time": "timestamp", "category": "string", "amt": "double", "merchant": "string"}
 
 
-def _typed(df: DataFrame, columns: dict[str, str], what: str) -> DataFrame:
-    missing = sorted(set(columns) - set(df.columns))
-    if missing:
-        raise ValueError(f"{what} lacks columns: {', '.join(missing)}")
-    return df.withColumns({c: F.col(c).cast(kind) for c, kind in columns.items()})
+def check_customers(spark: SparkSession, path: str) -> Checked:
+    """The raw customer file as typed rows and rejected lines; model columns are dropped, a missing column is an error,
+    extra ones stay. A line without a customer number is rejected."""
+    return check(spark, path, CUSTOMER_COLUMNS, required=("CLIENTNUM",), dropped=DROPPED)
 
 
 def read_customers(spark: SparkSession, path: str) -> DataFrame:
-    """The raw customer file, typed; model columns are dropped, a missing column is an error, extra ones stay."""
-    df = spark.read.csv(path, header=True)
-    keep = [c for c in df.columns if not any(word in c for word in DROPPED)]
-    return _typed(df.select(*(F.col(f"`{c}`") for c in keep)), CUSTOMER_COLUMNS, path)
+    """The rows of check_customers, with a warning if there are rejects."""
+    return check_customers(spark, path).warn(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -44,22 +44,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path).schema  # noqa: B018
         return True
-    except Exception as e:  # the reader's only way to say so
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return False
         raise
 
 
-def read_transactions(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All raw transaction files that exist, one after another, with merchant_category; no file is an error."""
+def check_transactions(spark: SparkSession, paths: list[str]) -> Checked:
+    """All raw transaction files that exist, one after another, as typed rows with merchant_category and rejected lines; no
+    file is an error. A line without a time or an amount is rejected."""
     there = [p for p in paths if exists(spark, p)]
     if not there:
         raise FileNotFoundError(f"no transaction file among {', '.join(paths)}")
-    rows = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        (_typed(spark.read.csv(p, header=True), TRANSACTION_COLUMNS, p) for p in there),
-    )
-    return rows.withColumn("merchant_category", X.mapped("category", X.MERCHANT_CATEGORY, X.UNMAPPED_CATEGORY))
+    found = [check(spark, p, TRANSACTION_COLUMNS, required=("trans_date_trans_time", "amt")) for p in there]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (f.rows for f in found))
+    rejects = reduce(DataFrame.unionByName, (f.rejects for f in found))
+    return Checked(rows.withColumn("merchant_category", X.mapped("category", X.MERCHANT_CATEGORY, X.UNMAPPED_CATEGORY)), rejects)
+
+
+def read_transactions(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rows of check_transactions, with a warning if there are rejects."""
+    return check_transactions(spark, paths).warn(", ".join(paths))
+
+
+def write_rejects(rejects: DataFrame, folder: str) -> None:
+    """Add rejected lines to those that folder has, as JSON lines."""
+    rejects.write.mode("append").json(folder)
 
 
 def localise(raw: DataFrame, as_of: str) -> DataFrame:
@@ -99,7 +109,7 @@ def localise(raw: DataFrame, as_of: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").csv(path, header=True, escape=QUOTE)
 
 
 def write_profile(profiles: dict[str, DataFrame], path: str) -> None:
@@ -112,10 +122,45 @@ def read_profile(spark: SparkSession, path: str, name: str, kind: T.StructType)
     return spark.read.schema(kind).json(f"{path}/{name}")
 
 
-def load_table(df: DataFrame, table: str) -> int:
-    """Replace the table by df; the number of rows in it afterwards."""
-    df.write.mode("overwrite").saveAsTable(table)
-    return df.sparkSession.table(table).count()
+def load_table(df: DataFrame, table: str, surrogate: str | None = None) -> int:
+    """Replace the table of the catalog by df; the number of rows in it afterwards.
+
+    surrogate: a key column that the store numbers itself, left out. The rows are written to a table beside and counted
+    there; only if no row is missing do the two change places. If anything fails before, or the exchange itself, the old
+    table is there as it was; a load that was cut off during the exchange is mended by the next one. df may read the table.
+    """
+    spark = df.sparkSession
+    beside, before = f"{table}__{uuid.uuid4().hex}", f"{table}__before"
+    has = spark.catalog.tableExists
+    if not has(table) and has(before):
+        spark.sql(f"ALTER TABLE {before} RENAME TO {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {before}")
+    written = Observation()
+    rows = df.drop(surrogate) if surrogate else df
+    try:
+        rows.observe(written, F.count(F.lit(1)).alias("n")).write.saveAsTable(beside)
+        n = spark.table(beside).count()
+        if n != written.get["n"]:
+            raise RuntimeError(f"{beside} has {n} rows of {written.get['n']}; {table} was left as it was")
+        _exchange(spark, table, beside, before)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {beside}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {before}")
+    return n
+
+
+def _exchange(spark: SparkSession, table: str, beside: str, before: str) -> None:
+    """table becomes before, if it is there, and beside becomes table."""
+    old = spark.catalog.tableExists(table)
+    if old:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {before}")
+    try:
+        spark.sql(f"ALTER TABLE {beside} RENAME TO {table}")
+    except Exception:
+        if old:
+            spark.sql(f"ALTER TABLE {before} RENAME TO {table}")
+        raise
 
 
 def missing_tables(spark: SparkSession, names: tuple[str, ...] = tuple(schema.TABLES)) -> list[str]:
