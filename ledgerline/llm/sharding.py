@@ -1,7 +1,7 @@
 """Resharding by minimum-cost flow (operator 10).
 
 Documents lie in old shards; each is a folder of files, and each file holds some of the shard's blocks, into which rows
-fall by a hash. From the old shards' sizes and the new capacities a minimum-cost flow says how many bytes go from where
+fall by a hash of their place. From the old shards' sizes and the new capacities a minimum-cost flow says how many bytes go from where
 to where (staying is free); whole blocks realise it, those of one file together where they can. The plan has at most
 shards x BLOCKS rows whatever the corpus, so it is made on the driver and broadcast. Only files with a block that moves
 are written anew; all others stay as they are.
@@ -168,12 +168,16 @@ def write_shards(
     docs: DataFrame, old_shard: Column, folder: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs (id_col, text_col) written to folder as shards of files, and read back: the columns, block, old_shard and
-    file. A file is one or more part files, so that a shard with most rows is written by several tasks."""
-    block = salt(BLOCKS, id_col, text_col)
-    marked = docs.select(
-        F.col(id_col), F.col(text_col), block.alias("block"), old_shard.cast("int").alias("old_shard"),
-        F.floor(block / FILE_BLOCKS).cast("int").alias("file"),
-    )
+    file. A file is one or more part files, so that a shard with most rows is written by several tasks.
+
+    Blocks go by a hash of a row's place in its partition, so rows that repeat, however often, fall into all blocks alike. The
+    place is written with the row and read from there; docs must be a table, whose partitions a lost task reads again in
+    the same order."""
+    block = salt(BLOCKS, F.monotonically_increasing_id())  # unequal blocks: their differences level the shards
+    placed = docs.select(F.col(id_col), F.col(text_col), old_shard.cast("int").alias("old_shard"), block.alias("block"))
+    marked = placed.select(
+        F.col(id_col), F.col(text_col), "block", "old_shard", F.floor(F.col("block") / FILE_BLOCKS).cast("int").alias("file")
+    )
     spread = F.pmod(F.xxhash64(F.lit(1), id_col, text_col), F.lit(max(1, partitions(docs.sparkSession) // SHARDS)))
     marked.repartition("old_shard", "file", spread).write.partitionBy("old_shard", "file").parquet(folder)
     return docs.sparkSession.read.schema(marked.schema).parquet(folder)
@@ -188,7 +192,7 @@ def reshard(
     next to folder. Shards get near equal sizes in bytes (a text's UTF-8 bytes plus ROW_BYTES; a null text has none) with
     the fewest bytes moved; files with a block that moves are written to folder, by new shard, all others stay.
     slot: place in the shard, gapless from 0. Equal texts are rows like others and may lie in
-    several shards. Rows that repeat are placed once each; null ids are rows like others. An empty table gives an
+    several shards. Rows that repeat are placed once each, in all shards alike; null ids are rows like others. An empty table gives an
     empty table.
     """
     spark = docs.sparkSession

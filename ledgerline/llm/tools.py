@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, read_table
+from .schemas import check_schema, faults
 
 #: Chains of up to 2^MAX_ROUNDS calls.
 MAX_ROUNDS = 40
@@ -41,48 +42,6 @@ SCHEMAS = {
     },
 }
 
-_TYPES = {
-    "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int,
-    "number": (int, float),
-}
-
-
-def faults(value: object, schema: dict, at: str = "$") -> list[str]:
-    """What in value breaks schema: type, enum, properties, required, additionalProperties, items, minLength,
-    maxLength, minimum and maximum are looked at."""
-    kinds = schema.get("type", list(_TYPES))
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-
-    def is_a(kind: str) -> bool:
-        if kind == "integer" and isinstance(value, float):
-            return value.is_integer()
-        return isinstance(value, _TYPES[kind]) and (kind == "boolean" or not isinstance(value, bool))
-
-    if not any(map(is_a, kinds)):
-        return [f"{at}: no {' or '.join(kinds)}"]
-    found = []
-    if "enum" in schema and value not in schema["enum"]:
-        found.append(f"{at}: not listed")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        found += [f"{at}.{k}: missing" for k in schema.get("required", ()) if k not in value]
-        for k, v in value.items():
-            if k in known:
-                found += faults(v, known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties", True) is False:
-                found.append(f"{at}.{k}: unknown")
-    if isinstance(value, list) and "items" in schema:
-        for i, v in enumerate(value):
-            found += faults(v, schema["items"], f"{at}[{i}]")
-    if isinstance(value, str):
-        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf):
-            found.append(f"{at}: length {len(value)}")
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        if not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf):
-            found.append(f"{at}: out of range")
-    return found
-
-
 def strict(text: str) -> object:
     """The JSON value of text; names that repeat and numbers that are not finite are errors."""
 
@@ -150,10 +109,12 @@ def link_calls(
     were. Rows without call_id are left out. status, the first that holds: no_call, no_result, cycle, unknown_tool,
     bad_json, bad_arguments, ok. message: canonical JSON of the call and its result; arguments that are no JSON, or
     that no canonical JSON can hold (lone surrogates, nesting beyond the interpreter's depth), are bad_json and stay a
-    string. A null conv_id, name, content or turn is written as null. Other columns are not looked at. Empty tables
+    string. A schema with a keyword that is not looked at is an error. A null conv_id, name, content or turn is written as null. Other columns are not looked at. Empty tables
     give an empty table.
     """
     schemas = SCHEMAS if schemas is None else schemas
+    for name, schema in schemas.items():
+        check_schema(schema, name)
 
     def named(name: str) -> Column:
         return F.struct("conv_id", F.col(name).alias("call_id")) if per_conversation else F.col(name)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import sharding
 
@@ -41,3 +42,22 @@ def test_files_without_moving_blocks_stay(spark):
     touched = {old[i] for i in got if got[i] != old[i][0]}
     written = {r.doc_id for r in spark.read.parquet(folder).select("doc_id").collect()}
     assert written == {i for i in got if old[i] in touched} and len(written) < len(got)
+
+
+def test_rows_that_repeat_fill_all_shards(spark, table):
+    """However often a row repeats: shards of one row's size within one row of each other, slots without gaps."""
+    rows = [(None, "same text", "a", 1)] * 2000
+    docs = table(rows, "doc_id long, text string, block string, shard int").repartition(3)
+    for old in (F.lit(0), sharding.salt(24, "block")):
+        got = sharding.reshard(docs, old, sharding.scratch_path(spark, "shards")).toPandas()
+        counts = got.groupby("shard").size()
+        assert len(got) == 2000 and len(counts) == 24 and counts.max() - counts.min() <= 1
+        assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_hot_row_among_others(spark, table):
+    rows = [(i, f"text {i} " * (i % 40), "", 0) for i in range(1200)] + [(7, "a hot row " * 30, "", 0)] * 800
+    got = sharding.reshard(table(rows, "doc_id long, text string, block string, shard int"), F.lit(3), sharding.scratch_path(spark, "shards")).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(got) == 2000 and len(sizes) == 24 and sizes.max() - sizes.min() <= got["size"].max()
+    assert got["size"].sum() == sum(len(t.encode()) + 8 for _, t, _, _ in rows)
