@@ -34,3 +34,23 @@ def test_numbers_of_characters_keep_their_type(spark):
 def test_rows_that_differ_in_other_columns_alone(spark):
     docs = spark.createDataFrame([(1, "one two three four five", b) for b in ("z", "y", None)], "doc_id long, text string, fp string")
     assert [r.fp for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [None]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES[:-1]])
+def test_columns_without_an_order(spark, name):
+    text = (
+        "the cat and the dog are in this garden of ours today and nothing else is to be seen from the house that we have had for "
+        "all these years with its red door and the old tree that was here when they first came to the town by the river and that "
+        "is not to say it was a quiet place for there was work to do on the farm and in the mill "
+    )
+    docs = spark.range(6).selectExpr(
+        "id div 2 AS doc_id", f"concat('{text}', id div 2) AS text", "map(id, map('a', id)) AS m", "parse_json(concat('{\"a\": ', id, '}')) AS v",
+        "array(struct(map('x', id) AS deep)) AS s", "CASE WHEN id > 3 THEN map('k', id) END AS n", "'en' AS lang", "1 AS n_chars",
+    )
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert out.dtypes == docs.dtypes
+    rows = out.selectExpr("doc_id", "m", "to_json(v) AS v", "s", "n").collect()
+    if name == "near_duplicates":
+        assert len(rows) == 1 and (rows[0].m, rows[0].v, rows[0].s[0].deep) == ({0: {"a": 0}}, '{"a":0}', {"x": 0})
+    else:
+        assert len(rows) == 6 and {r.v for r in rows} == {f'{{"a":{i}}}' for i in range(6)}
