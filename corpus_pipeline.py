@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.llm import packing, quality, secrets, simhash
 from ledgerline.llm.common import materialise, read_table
@@ -18,6 +19,21 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
 
 
+def _without_order(kind: T.DataType) -> bool:
+    """Whether values of the type, or parts of them, cannot be sorted."""
+    if isinstance(kind, T.ArrayType):
+        return _without_order(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_without_order(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
+def in_order(docs: DataFrame, column: str) -> Column:
+    """The column of __row to sort by; its JSON where the type has no order."""
+    value = F.col(f"__row.`{column}`")
+    return F.to_json(F.struct(value.alias("c"))) if _without_order(docs.schema[column].dataType) else value
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, with all their columns as they were, whatever these are called. Null and
     empty texts go, as do all of under 50 words; rows that repeat are judged alike."""
@@ -28,14 +44,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest doc_id, then fingerprint, then hash
     of the text. A document without id stays where no document of its group has an id. Of rows that repeat with id and
-    text, one stays.
+    text, the first by the other columns stays; maps, variants and intervals, which have no order, go by their JSON.
     """
     # A struct is never null, so a null id is an id like others in the join.
     key = F.struct("doc_id", F.xxhash64("text").alias("text")).alias("__key")
     marked = simhash.near_duplicates(docs.select("doc_id", "text", key), carried=("__key",))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "__key")).alias("first")
     stay = marked.groupBy("root").agg(first).select("first.__key")
-    others = [F.col(f"__row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    others = [in_order(docs, c) for c in docs.columns if c not in ("doc_id", "text")]
     order = Window.partitionBy("__key").orderBy(*others, F.lit(0))
     return (
         docs.select(key, whole_row(docs))
