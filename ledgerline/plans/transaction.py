@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import labels
 from ledgerline.functions.columns import avg, banded, growth, mean, n, pct, ratio, rounded, share_of_total, tile_label, total
-from ledgerline.functions.ranking import percentiles, with_tile
+from ledgerline.functions.ranking import percentiles
+from ledgerline.functions.tiles import with_tiles
 from ledgerline.plans.registry import query
 from ledgerline.plans.revenue import dated
 from ledgerline.sources.warehouse import Star
@@ -35,7 +36,7 @@ def txn_overview(s: Star) -> DataFrame:
 @query
 def txn_quartiles(s: Star) -> DataFrame:
     """Ties at a quartile's edge do not matter: equal amounts are alike."""
-    tiled = with_tile(s.fact_transactions.select("amount", "transaction_id"), [F.col("amount"), F.col("transaction_id")], 4, "quartile")
+    tiled = with_tiles(s.fact_transactions.select("amount", "transaction_id"), {"quartile": F.col("amount")}, "transaction_id", 4)
     found = tiled.groupBy("quartile").agg(
         *volume(F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"), F.sum("amount").alias("exact"))
     )

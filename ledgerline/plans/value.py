@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions import labels
 from ledgerline.functions.columns import avg, banded, churn_pct, churned, dbl, mean, n, rounded, share_of_total, tile_label, total
 from ledgerline.functions.ranking import with_tile
+from ledgerline.functions.tiles import with_tiles
 from ledgerline.plans.registry import query
+from ledgerline.sources.storage import materialise
 from ledgerline.sources.warehouse import Star
 
 SPEND, TENURE = "total_trans_amt_12m", "customer_tenure_months"
@@ -114,10 +116,10 @@ def rfm_customer(s: Star) -> DataFrame:
         F.datediff(F.lit(s.as_of).cast("date"), F.max(F.to_date("transaction_date"))).alias("recency_days"),
         n().alias("frequency"), F.sum("amount").alias("monetary"),
     )
-    key = F.col("customer_id")
-    scored = with_tile(raw, [F.col("recency_days").desc(), key], 5, "r_score")
-    scored = with_tile(scored, [F.col("frequency"), key], 5, "f_score")
-    scored = with_tile(scored, [F.col("monetary"), key], 5, "m_score")
+    raw = materialise(raw, "rfm")  # one row a customer, which the search for edges reads several times
+    scored = with_tiles(
+        raw, {"r_score": -F.col("recency_days"), "f_score": F.col("frequency"), "m_score": F.col("monetary")}, "customer_id", 5
+    )
     return scored.withColumn(
         "rfm_cell", F.concat(*(F.col(f"{x}_score").cast("string") for x in "rfm"))
     ).withColumn("rfm_total", F.col("r_score") + F.col("f_score") + F.col("m_score")).withColumn("segment", rfm_segment())
