@@ -100,16 +100,24 @@ def flag_high_value(transactions: DataFrame, amount: str = "amount", group: str
 
 def allocate_total(rows: DataFrame, group: str, weight: str, total: str, order: list[str], name: str) -> DataFrame:
     """rows with name: their part of the group's total in proportion to weight, in cents, such that a group's parts
-    sum to its total exactly; the last row by order takes the residue. order must be unique within a group."""
-    every = Window.partitionBy(group)
-    scale = ratio(F.col(total), F.sum(weight).over(every))
-    part = rounded(F.col(weight).cast("double") * scale, 2).cast("decimal(15,2)")
-    last = F.row_number().over(every.orderBy(*(F.col(c).desc() for c in order))) == 1
-    rows = rows.withColumn("__part", part).withColumn("__last", last)
-    residue = F.col(total).cast("decimal(15,2)") - F.sum("__part").over(every)
-    return rows.withColumn(
-        name, F.when(F.col("__last"), F.col("__part") + residue).otherwise(F.col("__part")).cast("decimal(15,2)")
-    ).drop("__part", "__last")
+    sum to its total exactly; the last row by order takes the residue. order must be unique within a group.
+
+    Weights are summed up by group, then the rounded parts and the last row; rows meet these sums in joins, so a group
+    that has most rows is spread over tasks. A null group is a group.
+    """
+    place = F.struct(*order)
+
+    def beside(rows: DataFrame, sums: DataFrame) -> DataFrame:
+        return rows.join(sums, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+
+    by_group = lambda df: df.groupBy(F.col(group).alias("__group"))
+    weighed = beside(rows, by_group(rows).agg(F.sum(weight).alias("__weight")))
+    part = rounded(F.col(weight).cast("double") * ratio(F.col(total), F.col("__weight")), 2).cast("decimal(15,2)")
+    parted = weighed.withColumn("__part", part)
+    ends = by_group(parted).agg(F.sum("__part").alias("__parts"), F.max(place).alias("__last"))
+    residue = F.when(place.eqNullSafe(F.col("__last")), F.col(total).cast("decimal(15,2)") - F.col("__parts")).otherwise(0)
+    whole = beside(parted, ends).withColumn(name, (F.col("__part") + residue).cast("decimal(15,2)"))
+    return whole.drop("__weight", "__part", "__parts", "__last")
 
 
 def campaign_audience(customers: DataFrame, high_incomes: tuple[str, ...] = HIGH_INCOMES, low_incomes: tuple[str, ...] = ("Below ₹3L", "Unknown")) -> DataFrame:

@@ -41,17 +41,20 @@ def judged(good: str, bad: str = "FAIL") -> str:
 
 
 ZERO, ZERO_WARN = judged("detail = 0"), judged("detail = 0", "WARN")
+# Least rows of a table, keys, columns without nulls, and references (table, key, parent).
 MINIMUM = {
     "dim_customer": 10000, "dim_product": 10, "dim_campaign": 5, "dim_date": 2000, "fact_transactions": 100000,
     "fact_service_logs": 5000, "fact_campaign_responses": 1000,
 }
 KEYS = {"dim_customer": "customer_id", "dim_product": "product_id", "dim_campaign": "campaign_id", "dim_date": "date_key"}
 NULLS = {
-    "dim_customer": "customer_id customer_status age gender income_bracket card_category credit_limit total_trans_amt_12m",
-    "fact_transactions": "customer_id amount transaction_day:transaction_date merchant_category",
-    "fact_service_logs": "customer_id complaint_date complaint_category priority",
-    "fact_campaign_responses": "campaign_id customer_id was_contacted",
-}
+    "dim_customer": (
+        "customer_id", "customer_status", "age", "gender", "income_bracket", "card_category", "credit_limit", "total_trans_amt_12m",
+    ),
+    "fact_transactions": ("customer_id", "amount", "transaction_day:transaction_date", "merchant_category"),
+    "fact_service_logs": ("customer_id", "complaint_date", "complaint_category", "priority"),
+    "fact_campaign_responses": ("campaign_id", "customer_id", "was_contacted"),
+}
 FOREIGN = (
     ("fact_transactions", "customer_id", "dim_customer"), ("fact_transactions", "product_id", "dim_product"),
     ("fact_transactions", "date_key", "dim_date"), ("fact_service_logs", "customer_id", "dim_customer"),
@@ -64,7 +67,7 @@ def null_checks() -> list[tuple]:
     status = "CASE WHEN detail = 0 THEN 'PASS' WHEN detail < 5 THEN 'WARN' ELSE 'FAIL' END"
     found = []
     for table, columns in NULLS.items():
-        for c in columns.split():
+        for c in columns:
             real, _, name = c.partition(":")
             share = f"(SELECT coalesce(count(*) FILTER (WHERE {real} IS NULL) * 100.0 / nullif(count(*), 0), 0) FROM {table})"
             found.append(("nulls", table, f"null_{name or real}", r(share, 4), status, "false"))
@@ -173,7 +176,9 @@ def duplicates(table: str, key: str) -> str:
     return f"SELECT {key}, count(*) AS occurrences FROM {table} GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 10"
 
 
-NULL_COLUMNS = "customer_id age gender income_bracket customer_status card_category credit_limit total_trans_amt_12m".split()
+NULL_COLUMNS = (
+    "customer_id", "age", "gender", "income_bracket", "customer_status", "card_category", "credit_limit", "total_trans_amt_12m",
+)
 GAP = "abs(total_trans_amt_12m - sum_amount)"
 
 BODIES: dict[str, str] = {

@@ -98,6 +98,19 @@ BODIES: dict[str, str] = {
  LEFT JOIN (SELECT customer_id, {mean('csat_score')} AS csat FROM fact_service_logs GROUP BY 1) USING (customer_id)
  LEFT JOIN (SELECT customer_id, count(*) AS won FROM fact_campaign_responses WHERE was_accepted GROUP BY 1) USING (customer_id))""",
 }
+# The seeded products and campaigns (table, id, name, type, first day).
+BODIES["seed_dims"] = """SELECT table_name, id, name, kind, since, coalesce(facts, 0) AS facts FROM (VALUES
+ ('dim_product', 1, 'Savings Account', 'Savings', '2010-01-01'), ('dim_product', 2, 'Current Account', 'Current', '2010-01-01'),
+ ('dim_product', 3, 'Fixed Deposit', 'Term Deposit', '2010-01-01'), ('dim_product', 4, 'Credit Card - Blue', 'Basic', '2012-01-01'),
+ ('dim_product', 5, 'Credit Card - Silver', 'Silver', '2012-06-01'), ('dim_product', 6, 'Credit Card - Gold', 'Gold', '2013-01-01'),
+ ('dim_product', 7, 'Credit Card - Platinum', 'Platinum', '2014-01-01'), ('dim_product', 8, 'Personal Loan', 'Unsecured', '2011-01-01'),
+ ('dim_product', 9, 'Home Loan', 'Secured', '2010-01-01'), ('dim_product', 10, 'Vehicle Loan', 'Secured', '2011-06-01'),
+ ('dim_product', 11, 'Health Insurance', 'Health', '2015-01-01'), ('dim_product', 12, 'Mutual Fund SIP', 'Equity', '2016-01-01'),
+ ('dim_campaign', 1, 'Credit Limit Upgrade', 'Email', '2024-01-15'), ('dim_campaign', 2, 'Premium Card Upgrade', 'Outbound Call', '2024-04-01'),
+ ('dim_campaign', 3, 'Re-engagement Offer', 'SMS', '2024-07-01'), ('dim_campaign', 4, 'Cross-sell Insurance', 'Push Notification', '2024-09-01'),
+ ('dim_campaign', 5, 'Loyalty Rewards Program', 'Email', '2024-10-01')) seeds(table_name, id, name, kind, since)
+ LEFT JOIN (SELECT 'dim_product' AS t, product_id AS k, count(*) AS facts FROM fact_transactions GROUP BY 2
+  UNION ALL SELECT 'dim_campaign', campaign_id, count(*) FROM fact_campaign_responses GROUP BY 2) ON t = table_name AND k = id"""
 BODIES["ml_seg_impute_scale"] = UNION.join(
     f"""SELECT '{c}' AS feature, {r(f'avg({c})', 4)} AS mean,
  {r(f'stddev_samp(coalesce({c}, (SELECT avg({c}) FROM ({BODIES["ml_seg_features"]}))))', 4)} AS std

@@ -10,7 +10,7 @@ from ledgerline.functions.ranking import with_percentile_rank
 from ledgerline.operators import transforms as X
 from ledgerline.plans.quality import orphans, rows_of, union
 from ledgerline.plans.registry import query
-from ledgerline.plans.views import hourly
+from ledgerline.sources import files
 from ledgerline.sources.adapter import INCOME_SCORE
 from ledgerline.sources.warehouse import Star
 
@@ -126,7 +126,7 @@ def profile_amounts(s: Star) -> DataFrame:
 
 @query
 def profile_hour(s: Star) -> DataFrame:
-    return X.profile_weights(hourly(s), F.hour("ts"), "hour")
+    return X.profile_weights(s.timed(), F.hour("transaction_date"), "hour")
 
 
 @query
@@ -156,6 +156,22 @@ def orphan_counts_load(s: Star) -> DataFrame:
     ])
 
 
+@query
+def seed_dims(s: Star) -> DataFrame:
+    """The seeded products and campaigns, and how many facts refer to each: sales of a product, answers to a campaign."""
+    kinds = {
+        "dim_product": (files.seed_products(s.spark), "product", "launch_date", s.fact_transactions),
+        "dim_campaign": (files.seed_campaigns(s.spark), "campaign", "start_date", s.fact_campaign_responses),
+    }
+    return union([
+        seeds.join(facts.groupBy(f"{x}_id").agg(n().alias("facts")), f"{x}_id", "left").select(
+            F.lit(t).alias("table_name"), F.col(f"{x}_id").cast("long").alias("id"), F.col(f"{x}_name").alias("name"),
+            F.col(f"{x}_type").alias("kind"), F.col(since).cast("string").alias("since"), F.coalesce("facts", F.lit(0)).alias("facts"),
+        )
+        for t, (seeds, x, since, facts) in kinds.items()
+    ])
+
+
 @query
 def export_dims(s: Star) -> DataFrame:
     """Rows, null keys and duplicate keys of the seeded dimensions."""

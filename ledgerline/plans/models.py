@@ -19,7 +19,7 @@ from ledgerline.plans.campaign import conversion
 from ledgerline.plans.registry import query
 from ledgerline.plans.value import with_clv
 from ledgerline.sources.storage import materialise, shared_dir
-from ledgerline.sources.warehouse import Star
+from ledgerline.sources.warehouse import FORGETTING, Star
 
 HIGH_CLV = 50_000
 
@@ -33,6 +33,7 @@ class Fitted(NamedTuple):
 
 
 _fitted: dict[tuple[str, str], Fitted] = {}
+FORGETTING.append(lambda key: _fitted.pop(key, None))
 
 
 def save(s: Star, folder: str) -> None:

@@ -16,7 +16,6 @@ from ledgerline.plans.registry import QUERIES, query
 from ledgerline.plans.revenue import dated, per_customer
 from ledgerline.plans.service import escalation
 from ledgerline.plans.value import rfm_customer, with_clv
-from ledgerline.sources.adapter import event_key
 from ledgerline.sources.warehouse import Star
 
 
@@ -75,21 +74,13 @@ def v_campaign_funnel(s: Star) -> DataFrame:
     return names.join(sums, "campaign_id", "left").fillna(0, ["targeted", "contacted", "opened", "clicked", "accepted"])
 
 
-def hourly(s: Star) -> DataFrame:
-    """Purchases of the event stream, which have a time of day."""
-    e = s.spark.read.parquet(f"{s.sf_dir}/events.parquet").where("event_type = 'purchase'")
-    return e.select(
-        "ts", F.concat(F.lit("C"), event_key() % 6).alias("merchant_category"),
-        F.col("value").cast("decimal(15,2)").alias("amount"),
-    )
-
-
 @query
 def v_transaction_heatmap(s: Star) -> DataFrame:
-    day = F.to_date("ts")
+    """By the time of the transactions; the adapter's, whose days have no time, take the event stream's purchases."""
+    day = F.to_date("transaction_date")
     return (
-        hourly(s).groupBy(F.weekday(day).alias("day_of_week"), F.date_format(day, "EEEE").alias("day_name"),
-                          F.hour("ts").alias("hour_of_day"), "merchant_category")
+        s.timed().groupBy(F.weekday(day).alias("day_of_week"), F.date_format(day, "EEEE").alias("day_name"),
+                          F.hour("transaction_date").alias("hour_of_day"), "merchant_category")
         .agg(n().alias("transactions"), total("amount").alias("volume"))
     )
 

@@ -203,6 +203,19 @@ def fact_campaign_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timed_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases of the event stream as transactions, which have a time of day; the shipping days of the others have none."""
+    e = _read(spark, sf_dir, "events").where("event_type = 'purchase'")
+    return conform(
+        e.select(
+            F.col("event_id").alias("transaction_id"), F.col("user_id").alias("customer_id"),
+            date_key(F.to_date("ts")).alias("date_key"), F.col("ts").alias("transaction_date"),
+            F.concat(F.lit("C"), event_key() % 6).alias("merchant_category"), F.col("value").alias("amount"),
+        ),
+        "fact_transactions",
+    )
+
+
 def dim_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part")
     return conform(

@@ -198,6 +198,24 @@ PRODUCTS = (
 )
 
 
+# The seeded campaigns (id, name, type, channel, segment, start, end, budget, objective).
+CAMPAIGNS = (
+    (1, "Credit Limit Upgrade", "Email", "Digital", "High Utilization", "2024-01-15", "2024-03-15", 500000, "Cross-sell"),
+    (2, "Premium Card Upgrade", "Outbound Call", "Direct", "Affluent", "2024-04-01", "2024-06-30", 800000, "Upsell"),
+    (3, "Re-engagement Offer", "SMS", "Digital", "At Risk", "2024-07-01", "2024-08-31", 300000, "Retention"),
+    (4, "Cross-sell Insurance", "Push Notification", "Digital", "Mass", "2024-09-01", "2024-11-30", 450000, "Cross-sell"),
+    (5, "Loyalty Rewards Program", "Email", "Digital", "Loyal", "2024-10-01", "2024-12-31", 600000, "Engagement"),
+)
+
+
+def seed_campaigns(spark: SparkSession) -> DataFrame:
+    names = [f.name for f in schema.DIM_CAMPAIGN][:-1]
+    raw = spark.createDataFrame(CAMPAIGNS, T.StructType([
+        T.StructField(c, T.IntegerType() if c in ("campaign_id", "budget") else T.StringType()) for c in names
+    ])).withColumn("status", F.lit("Completed"))
+    return raw.select(*(F.col(f.name).cast(f.dataType) for f in schema.DIM_CAMPAIGN))
+
+
 def seed_products(spark: SparkSession) -> DataFrame:
     names = [f.name for f in schema.DIM_PRODUCT][:-1]
     raw = spark.createDataFrame(PRODUCTS, T.StructType([

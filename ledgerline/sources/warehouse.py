@@ -33,6 +33,11 @@ class Star:
     events_as_of: str = adapter.EVENTS_AS_OF
     folder: str | None = None
     catalog: str | None = None
+    timed_transactions: DataFrame | None = None
+
+    def timed(self) -> DataFrame:
+        """Transactions with a time of day: those of the fact table, where a warehouse has no others for it."""
+        return self.fact_transactions if self.timed_transactions is None else self.timed_transactions
 
     def stored(self) -> set[str]:
         """The tables of the model that the store has now."""
@@ -85,9 +90,17 @@ def load(spark: SparkSession, sf_dir: str) -> Star:
         store({"dim_customer": lambda: adapter.dim_customer(spark, sf_dir, sales)}, folder)
         opened = open_warehouse(spark, folder)
         tables = {t: getattr(opened, t) for t in schema.TABLES}
-        _loaded[key] = Star(spark, sf_dir, **tables, folder=folder)
+        _loaded[key] = Star(spark, sf_dir, **tables, folder=folder, timed_transactions=adapter.timed_purchases(spark, sf_dir))
     return _loaded[key]
 
 
+#: Called with the key of a warehouse that is forgotten, by what was derived from it.
+FORGETTING: list[Callable[[tuple[str, str]], None]] = []
+
+
 def forget(spark: SparkSession, sf_dir: str) -> None:
-    _loaded.pop((spark.sparkContext.applicationId, sf_dir), None)
+    """Drop the warehouse of sf_dir and what rests on it, models included; the next use derives it again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    _loaded.pop(key, None)
+    for drop in FORGETTING:
+        drop(key)

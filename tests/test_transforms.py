@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline import schema
 from ledgerline.functions.columns import age_band, band, rounded
 from ledgerline.functions.ranking import with_percentile_rank, with_position, with_tile
 from ledgerline.operators import transforms as X
@@ -125,3 +126,24 @@ def test_files(spark, tmp_path):
     files.write_csv(profile, f"{tmp_path}/out")
     assert spark.read.csv(f"{tmp_path}/out", header=True).count() == 2
     assert files.seed_products(spark).where("interest_rate is null").count() == 2
+
+
+def test_allocation_of_a_large_group_and_of_none(spark):
+    rows = spark.range(300_000).select(
+        F.when(F.col("id") % 10 > 0, F.lit(7)).otherwise(F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.lit(3))).alias("g"),
+        "id", (F.col("id") % 13 + 1).cast("decimal(15,2)").alias("w"), F.lit("1000.01").cast("decimal(15,2)").alias("total"),
+    )
+    got = X.allocate_total(rows, "g", "w", "total", ["id"], "part")
+    assert got.columns == ["g", "id", "w", "total", "part"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    sums = {r.g: (r.n, r.s) for r in got.groupBy("g").agg(F.count("*").alias("n"), F.sum("part").alias("s")).collect()}
+    assert sums == {7: (270_000, Decimal("1000.01")), 3: (24_000, Decimal("1000.01")), None: (6_000, Decimal("1000.01"))}
+    last = got.where("g = 7").agg(F.max_by("part", "id").alias("last"), F.max(F.abs(F.when(F.col("id") < 299_999, F.col("part")))).alias("most")).first()
+    assert last.most <= Decimal("0.01") and last["last"] != last.most
+
+
+def test_seeded_campaigns(spark):
+    got = files.seed_campaigns(spark)
+    assert got.schema.names == [f.name for f in schema.DIM_CAMPAIGN] and got.count() == 5
+    assert got.agg(F.sum("budget")).first()[0] == 2_650_000 and got.where("end_date > start_date").count() == 5
