@@ -41,6 +41,7 @@ class Lines:
 
     def __init__(self, x: np.ndarray):
         self.x = x
+        self.verified = 0  # vectors whose distance was calculated, over all queries
         self.lines = np.random.default_rng(SEED).standard_normal((x.shape[1], LINES))
         projected = x @ self.lines
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
@@ -78,6 +79,7 @@ class Lines:
                 low[:, r], high[:, r] = new_low[:, i], new_high[:, i]
                 fresh = np.flatnonzero((c >= least) & ~checked[r])
                 checked[r, fresh] = True
+                self.verified += len(fresh)
                 distance = np.sqrt(((self.x[fresh] - q[r]) ** 2).sum(axis=1))
                 ids, d = np.concatenate([found[r][0], fresh]), np.concatenate([found[r][1], distance])
                 best = np.lexsort((ids, d))[:k]

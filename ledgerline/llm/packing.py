@@ -34,6 +34,8 @@ END_ID = 2
 SLOW_ROUND = 0.05
 #: Sequences are opened by at least this share of those that there are, so that the last rounds do not open them singly.
 OPEN_SHARE = 0.0005
+#: Pieces and gaps in a range, about: what one task holds.
+RANGE_ROWS = 100_000
 
 
 class Interval(NamedTuple):
@@ -89,9 +91,11 @@ def best_fit_rounds(counts: dict[int, int], capacity: int) -> tuple[list[Interva
     return placed, sequences
 
 
-def swept(items: DataFrame) -> DataFrame:
+def swept(items: DataFrame, ranges: int | None = None) -> DataFrame:
     """What the sweep of each range of items (size, kind: 0 piece or 1 gap, id, used) finds, by size within a range.
 
+    ranges: their number, else as the session deals; each is held by one task.
+
     found: 0 a piece and the gap that takes it (row, length, sequence_id, used), 1 a piece left, 2 a gap left. range
     and rank number what is left: pieces from the largest down, gaps from the smallest up. In a range all gaps left
     are smaller than all pieces left.
@@ -125,7 +129,9 @@ def swept(items: DataFrame) -> DataFrame:
 
     by = ("size", "kind", "id")
     schema = "found int, row long, length int, sequence_id long, used int, range int, rank long"
-    return items.select(*by, "used").repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    dealt = items.select(*by, "used")
+    dealt = dealt.repartitionByRange(*by) if ranges is None else dealt.repartitionByRange(ranges, *by)
+    return dealt.sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
 def carried(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -180,7 +186,8 @@ def best_fit(pieces: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
         items = pieces.select(
             F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("row").alias("id"), F.lit(0).alias("used")
         ).unionByName(slots)
-        found = materialise(swept(items), "swept")
+        n_slots = slots.count()
+        found = materialise(swept(items, -(-(n + n_slots) // RANGE_ROWS)), "swept")
         left = found.where("found > 0").groupBy("range").agg(F.count_if(F.col("found") == 1), F.count_if(F.col("found") == 2))
         carry = spark.createDataFrame(
             carried([tuple(r) for r in left.collect()]),  # a row for each range

@@ -40,3 +40,16 @@ def test_vectors_meet_those_of_their_length(spark):
     got = neighbours.nearest_neighbours(df, F.col("vec_id") % 100 == 0, shards=3).toPandas()
     mine = {q: g.sort_values("rank")["vec_id"].tolist() for q, g in got.groupby("query_id")}
     assert mine == {0: [1, 2, 3, 4], 100: [101, 102]}
+
+
+def test_verifies_few_vectors_where_neighbours_stand_out():
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((100, 64))
+    x = centres[rng.integers(0, 100, 8000)] + 0.15 * rng.standard_normal((8000, 64))
+    lines, queries = neighbours.Lines(x), np.arange(0, 8000, 200)
+    who, which, _ = lines.nearest(x[queries], 11)
+    hits = 0
+    for i, q in enumerate(queries):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        hits += len(set(np.argsort(d, kind="stable")[:11]) & set(which[who == i]))
+    assert hits >= 0.97 * 11 * len(queries) and lines.verified < 0.05 * len(queries) * len(x)

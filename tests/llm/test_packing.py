@@ -66,3 +66,29 @@ def test_op2_packs_whole_documents(spark):
     check_packed(got, 1024)
     assert set(got["doc_id"]) == {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     assert got["sequence_id"].nunique() <= 1.01 * -(-got["length"].sum() // 1024) + 2
+
+
+@pytest.mark.parametrize("rows", [60, 400])
+def test_ranges_hold_a_bounded_number_of_rows(spark, monkeypatch, rows):
+    """With few shuffle partitions there are as many ranges as the rows ask for, and the packing stays near the bound."""
+    most, sweep = [], packing.swept
+
+    def counted(items, ranges=None):
+        found = sweep(items, ranges)
+        sizes = items.repartitionByRange(ranges, "size", "kind", "id").groupBy(F.spark_partition_id()).count().collect()
+        most.append(max(r["count"] for r in sizes))
+        return found
+
+    monkeypatch.setattr(packing, "RANGE_ROWS", rows)
+    monkeypatch.setattr(packing, "swept", counted)
+    rng = random.Random(rows)
+    lengths = [rng.choice([20, 30, 31, rng.randint(1, 400)]) for _ in range(4000)]
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        got = packing.pack(spark.createDataFrame([(n,) for n in lengths], "length long").repartition(3), "length").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert max(most) <= 4 * rows
+    assert sorted(got["length"]) == sorted(lengths)
+    check_packed(got.reset_index(names="doc_id"), 1024) if "doc_id" not in got else check_packed(got, 1024)
+    assert got["sequence_id"].nunique() <= 1.01 * -(-sum(lengths) // 1024) + 2
