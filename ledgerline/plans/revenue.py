@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import labels
+from ledgerline.functions.bitsets import distinct
 from ledgerline.functions.columns import avg, growth, n, ratio, rounded, share_of_total, tile_label
 from ledgerline.functions.ranking import with_tile
 from ledgerline.plans.registry import query
@@ -46,20 +47,23 @@ def of_profile(s: Star, key: str, *extra: str) -> DataFrame:
     return found.withColumn("revenue", rounded(F.col("revenue").cast("double"), 0))
 
 
+def with_customers(rows: DataFrame, *keys: str) -> DataFrame:
+    """Transactions by keys: customers (distinct), transactions, exact (their amount) and valued (those with an amount)."""
+    sums = {"transactions": n(), "exact": F.sum("amount"), "valued": F.count("amount")}
+    return distinct(rows, keys, "customer_id", "customers", **sums)
+
+
 def of_facts(s: Star, key: str) -> DataFrame:
-    found = s.fact_transactions.groupBy(key).agg(
-        n().alias("transactions"), F.sum("amount").alias("revenue"), avg("amount", 0).alias("avg_value"),
-        F.count_distinct("customer_id").alias("customers"),
-    )
+    found = with_customers(s.fact_transactions, key).select(
+        key, "transactions", F.col("exact").alias("revenue"), rounded(ratio(F.col("exact"), F.col("valued")), 0).alias("avg_value"), "customers"
+    )
     return share_of_total(found, "revenue", "share_pct")
 
 
 @query
 def rev_monthly(s: Star) -> DataFrame:
     keys = ["year", "month_number", "month_name", "fiscal_year", "fiscal_quarter"]
-    monthly = dated(s, *keys).groupBy(*keys).agg(
-        F.sum("amount").alias("exact"), n().alias("transactions"), F.count_distinct("customer_id").alias("customers")
-    )
+    monthly = with_customers(dated(s, *keys), *keys).drop("valued")
     grown = growth(monthly, "exact", "previous", "growth_pct", "year", "month_number")
     ytd = Window.partitionBy("year").orderBy("month_number")
     return (
@@ -73,9 +77,7 @@ def rev_monthly(s: Star) -> DataFrame:
 @query
 def rev_fiscal_quarter(s: Star) -> DataFrame:
     keys = ["fiscal_year", "fiscal_quarter"]
-    found = dated(s, *keys).groupBy(*keys).agg(
-        F.sum("amount").alias("exact"), n().alias("transactions"), F.count_distinct("customer_id").alias("customers")
-    )
+    found = with_customers(dated(s, *keys), *keys).drop("valued")
     return (
         growth(found, "exact", "previous", "growth_pct", *keys)
         .withColumn("revenue", rounded(F.col("exact").cast("double"), 0))

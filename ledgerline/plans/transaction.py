@@ -10,7 +10,7 @@ from ledgerline.functions.columns import avg, banded, growth, mean, n, pct, rati
 from ledgerline.functions.ranking import percentiles
 from ledgerline.functions.tiles import with_tiles
 from ledgerline.plans.registry import query
-from ledgerline.plans.revenue import dated
+from ledgerline.plans.revenue import dated, with_customers
 from ledgerline.sources.warehouse import Star
 
 def volume(*more: F.Column) -> list[F.Column]:
@@ -56,7 +56,10 @@ def txn_count_bands(s: Star) -> DataFrame:
 @query
 def txn_monthly(s: Star) -> DataFrame:
     keys = ["year", "month_number", "month_name"]
-    monthly = dated(s, *keys).groupBy(*keys).agg(*volume(customers()))
+    exact = F.col("exact")
+    monthly = with_customers(dated(s, *keys), *keys).select(
+        *keys, "transactions", rounded(exact.cast("double"), 0).alias("volume"), rounded(ratio(exact, F.col("valued")), 2).alias("avg_value"), "customers"
+    )
     monthly = monthly.withColumn("per_customer", rounded(ratio(F.col("transactions"), F.col("customers")), 1))
     return growth(monthly, "transactions", "previous", "growth_pct", "year", "month_number")
 

@@ -13,7 +13,7 @@ from ledgerline.functions.columns import (
 from ledgerline.functions.ranking import percentiles
 from ledgerline.plans.campaign import conversion, steps
 from ledgerline.plans.registry import QUERIES, query
-from ledgerline.plans.revenue import dated, per_customer
+from ledgerline.plans.revenue import dated, per_customer, with_customers
 from ledgerline.plans.service import escalation
 from ledgerline.plans.value import rfm_customer, with_clv
 from ledgerline.sources.warehouse import Star
@@ -40,8 +40,9 @@ def bi_customer_overview(s: Star) -> DataFrame:
 @query
 def bi_transaction_timeline(s: Star) -> DataFrame:
     days = ["full_date", "year", "month_name", "day_name", "is_weekend", "is_holiday", "holiday_name"]
-    return dated(s, *days).groupBy(*days, "merchant_category", "transaction_channel").agg(
-        n().alias("transactions"), total("amount").alias("revenue"), F.count_distinct("customer_id").alias("customers")
+    cells = with_customers(s.fact_transactions, "date_key", "merchant_category", "transaction_channel")
+    return cells.join(F.broadcast(s.dim_date.select("date_key", *days)), "date_key").select(
+        *days, "merchant_category", "transaction_channel", "transactions", F.col("exact").cast("double").alias("revenue"), "customers"
     )
 
 
