@@ -5,13 +5,13 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, Imputer, PCAModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import mean, n, share_of_total
+from ledgerline.ml import clusters
 from ledgerline.sources.warehouse import Star
 
 FEATURES = (
@@ -43,37 +43,43 @@ def features(s: Star) -> DataFrame:
 class Segments(NamedTuple):
     prepare: PipelineModel
     pca: PCAModel
-    kmeans: KMeansModel
+    centres: list[list[float]]
 
 
 def fit(rows: DataFrame) -> Segments:
-    """The best of RESTARTS runs of k-means by cost."""
+    """The best of RESTARTS runs of k-means by cost; all runs share each pass over the rows."""
     filled = [f"{c}__filled" for c in FEATURES]
     prepare = Pipeline(stages=[
         Imputer(inputCols=list(FEATURES), outputCols=filled, strategy="mean"),
         VectorAssembler(inputCols=filled, outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
     ]).fit(rows)
-    ready = prepare.transform(rows).select("features").persist()
+    arrays = vector_to_array("features").alias("x")
+    ready = prepare.transform(rows).select("customer_id", "features", arrays).persist()
     pca = PCA(k=2, inputCol="features", outputCol="pca").fit(ready)  # features are centred
-    runs = [KMeans(k=CLUSTERS, seed=SEED + i, featuresCol="features", predictionCol="cluster_id").fit(ready) for i in range(RESTARTS)]
+    centres = clusters.fit(ready, "customer_id", "x", CLUSTERS, RESTARTS, SEED)
     ready.unpersist()
-    return Segments(prepare, pca, min(runs, key=lambda m: m.summary.trainingCost))
+    return Segments(prepare, pca, centres)
 
 
 def save(model: Segments, folder: str) -> None:
-    """Write the fitted stages below folder, in place of what is there."""
-    for name, stage in model._asdict().items():
-        stage.write().overwrite().save(f"{folder}/{name}")
+    """Write the fitted stages and centres below folder, in place of what is there."""
+    model.prepare.write().overwrite().save(f"{folder}/prepare")
+    model.pca.write().overwrite().save(f"{folder}/pca")
+    spark = SparkSession.getActiveSession()
+    numbered = spark.createDataFrame(list(enumerate(model.centres)), "cluster_id int, centre array<double>")
+    numbered.coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
 
 
 def load(folder: str) -> Segments:
-    return Segments(PipelineModel.load(f"{folder}/prepare"), PCAModel.load(f"{folder}/pca"), KMeansModel.load(f"{folder}/kmeans"))
+    stored = SparkSession.getActiveSession().read.parquet(f"{folder}/centres").orderBy("cluster_id").collect()
+    return Segments(PipelineModel.load(f"{folder}/prepare"), PCAModel.load(f"{folder}/pca"), [r.centre for r in stored])
 
 
 def assign(model: Segments, rows: DataFrame) -> DataFrame:
     """rows with cluster_id, pca_x and pca_y."""
-    found = model.kmeans.transform(model.pca.transform(model.prepare.transform(rows)))
+    found = model.pca.transform(model.prepare.transform(rows))
+    found = found.withColumn("cluster_id", clusters.nearest(vector_to_array("features"), model.centres))
     xy = vector_to_array("pca")
     return found.withColumn("pca_x", xy[0]).withColumn("pca_y", xy[1]).select(*rows.columns, "cluster_id", "pca_x", "pca_y")
 
