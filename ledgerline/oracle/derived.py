@@ -17,6 +17,18 @@ SEGMENT = (
 )
 
 
+def quartile(share: float) -> str:
+    """Interpolated between the amounts at two whole places, each by its place within its bin."""
+    place = f"((total - 1) * {share})"
+
+    def at(k: str) -> str:
+        inside = f"CAST({k} - before AS DOUBLE) / greatest(k - 1, 1)"
+        return f"max(CASE WHEN before <= {k} AND {k} < before + k THEN lo + (hi - lo) * {inside} END)"
+
+    low, high = at(f"floor({place})"), at(f"ceil({place})")
+    return r(f"{low} + ({high} - {low}) * max({place} - floor({place}))", 6)
+
+
 def weights(part: str, name: str, source: str) -> str:
     return f"SELECT {part} AS {name}, count(*) AS transactions, {WEIGHT} AS weight FROM {source} GROUP BY 1"
 
@@ -71,6 +83,21 @@ BODIES: dict[str, str] = {
     "profile_merchants": """SELECT merchant_category, string_agg(merchant_name, '|' ORDER BY merchant_name) AS merchants, count(*) AS n_merchants
  FROM (SELECT DISTINCT merchant_category, merchant_name FROM fact_transactions
    QUALIFY dense_rank() OVER (PARTITION BY merchant_category ORDER BY merchant_name) <= 10) GROUP BY 1""",
+    "profile_batches": f"""SELECT * FROM (WITH bins AS (SELECT merchant_category, {d('min(amount)')} AS lo, {d('max(amount)')} AS hi, count(*) AS k,
+   CASE WHEN amount = 0 THEN 0 ELSE sign(amount) * (ceil(ln({d('abs(amount)')}) / ln(1.01)) + 500) END AS bin
+   FROM fact_transactions WHERE amount IS NOT NULL GROUP BY 1, 5),
+ placed AS (SELECT *, sum(k) OVER (PARTITION BY merchant_category) AS total,
+   sum(k) OVER (PARTITION BY merchant_category ORDER BY bin) - k AS before FROM bins),
+ quartiles AS (SELECT merchant_category, {quartile(0.25)} AS p25, {quartile(0.5)} AS median, {quartile(0.75)} AS p75 FROM placed GROUP BY 1),
+ plain AS (SELECT merchant_category, count(*) AS transactions, {WEIGHT} AS proportion, {r(mean('amount'), 6)} AS mean,
+   {r('stddev_samp(CAST(amount AS DOUBLE))', 4)} AS std, {d('min(amount)')} AS min, {d('max(amount)')} AS max
+   FROM fact_transactions GROUP BY 1)
+ SELECT p.merchant_category AS category, p.* EXCLUDE (merchant_category), p25, median, p75
+ FROM plain p LEFT JOIN quartiles q ON p.merchant_category IS NOT DISTINCT FROM q.merchant_category)""",
+    "profile_batch_calendar": UNION.join(
+        f"SELECT '{name}' AS part, {part} AS value, count(*) AS transactions, {WEIGHT} AS weight FROM fact_transactions GROUP BY 2"
+        for name, part in (("weekday", "isodow(transaction_day) - 1"), ("month", "month(transaction_day)"))
+    ),
     "orphan_counts_load": UNION.join(
         f"SELECT (SELECT count(*) FROM {t}) AS row_count, {orphan(t, 'customer_id', 'dim_customer')} AS orphans, '{t}' AS table_name"
         for t in ("fact_transactions", "fact_service_logs", "fact_campaign_responses")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from ledgerline.functions.ranking import with_percentile_rank
 from ledgerline.operators import transforms as X
 from ledgerline.plans.quality import orphans, rows_of, union
 from ledgerline.plans.registry import query
-from ledgerline.sources import files
+from ledgerline.sources import files, profiles
 from ledgerline.sources.adapter import INCOME_SCORE
+from ledgerline.sources.storage import shared_dir
 from ledgerline.sources.warehouse import Star
 
 INCOME_LABELS = {"AUTOMOBILE": "Above", "BUILDING": "Upper", "FURNITURE": "Middle", "HOUSEHOLD": "Lower"}
@@ -144,6 +147,33 @@ def profile_merchants(s: Star) -> DataFrame:
     return X.profile_merchants(s.fact_transactions)
 
 
+def _two_batches(s: Star) -> DataFrame:
+    """The profile that is stored for the transactions before 1995 and grows by those since."""
+    early = F.to_date("transaction_date") < F.lit("1995-01-01").cast("date")
+    folder = f"{shared_dir(s.spark)}/profile-{uuid.uuid4().hex}"
+    for batch, rule in (("early", early), ("late", ~early | early.isNull())):
+        profiles.add(profiles.profile(s.fact_transactions.where(rule)), folder, batch)
+    return profiles.stored(s.spark, folder)
+
+
+@query
+def profile_batches(s: Star) -> DataFrame:
+    """What the profiles of two batches, merged, say of the categories: shares, moments and quartiles within 1 %."""
+    p = _two_batches(s)
+    both = profiles.categories(p).withColumnRenamed("category", "__c")
+    return both.join(profiles.amounts(p), F.col("__c").eqNullSafe(F.col("category"))).drop("__c")
+
+
+@query
+def profile_batch_calendar(s: Star) -> DataFrame:
+    """What the profiles of two batches, merged, say of weekdays and months."""
+    p = _two_batches(s)
+    return union([
+        profiles.weights(p, part).select(F.lit(part).alias("part"), F.col(part).alias("value"), "transactions", "weight")
+        for part in ("weekday", "month")
+    ])
+
+
 @query
 def orphan_counts_load(s: Star) -> DataFrame:
     """Rows of each fact and its orphans by customer."""
