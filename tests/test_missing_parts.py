@@ -8,7 +8,7 @@ import pytest
 from tests.test_oracle import ORACLE, QUERIES, SF, rows
 
 NAMES = (
-    "bi_customer_overview", "campaign_audience", "card_tier", "clv_historical", "cust_churn_by_card",
+    "bi_customer_overview", "campaign_audience", "card_tier", "clv_historical", "cust_churn_by_card", "cust_monthly_acquisition",
     "dq_dist_card", "products_held", "v_customer_360", "svc_by_tier_category",
 )
 NEWCOMER = 10_000_000
@@ -44,6 +44,10 @@ def test_same_rows(spark, folder, duck, name):
     assert rows(ours) == rows(theirs)
 
 
-def test_no_score_is_blue(spark, folder):
+def test_no_score_is_blue_and_no_month_comes_last(spark, folder):
     tier = QUERIES["card_tier"](spark, folder).where(f"customer_id = {NEWCOMER}").first()
     assert (tier.score, tier.card_category) == (None, "Blue")
+    months = QUERIES["cust_monthly_acquisition"](spark, folder).toPandas()
+    first, undated = months.sort_values("month").iloc[0], months[months["month"].isna()].iloc[0]
+    assert first.isna()["previous"] and first["cumulative"] == first["new_customers"]
+    assert undated["cumulative"] == months["new_customers"].sum()
