@@ -7,15 +7,19 @@ keys are scattered, there is a row for each member.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions.columns import col
 
 #: Sets of so many words (16 bytes each) are broadcast; dense keys up to 64 times as many have no more.
 WORDS = 1_000_000
 WORD, BITS = "__word", "__bits"
+#: Rows that hold one of so many combinations of values are broadcast as codes of their keys.
+KINDS = 1 << 15
 
 
 def word(c: str | Column) -> Column:
@@ -64,3 +68,51 @@ def with_lost(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFram
     there = F.coalesce(F.col("__has").bitwiseAND(bit(key)) != 0, F.lit(False))
     joined = rows.join(named, word(key) == F.col("__of"), "left")
     return joined.withColumn(name, F.col(key).isNotNull() & ~there).drop("__of", "__has")
+
+
+def few_distinct(df: DataFrame, c: str, condition: Column) -> Column:
+    """An aggregate: the number of distinct values of c where condition holds. Up to 64 values that df has are bits of one long,
+    so rows merge before they move; beyond that each value of a group moves."""
+    values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().limit(65).collect()]
+    if len(values) > 64:
+        return F.count_distinct(F.when(condition, F.col(c)))
+    one = F.lit(None).cast("long")
+    for i, v in enumerate(sorted(values)):
+        one = F.when(F.col(c) == F.lit(v), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(one)
+    return F.coalesce(F.bit_count(F.bit_or(F.when(condition, one))).cast("long"), F.lit(0).cast("long"))
+
+
+def unique_key_set(df: DataFrame, key: str) -> DataFrame | None:
+    """key_set, but None too where a key repeats, so that rows which have their key in it are those of a join."""
+    words = with_members(df.where(F.col(key).isNotNull()), [], key, __n=F.count(F.lit(1)))
+    found = words.agg(F.count(F.lit(1)).alias("words"), F.sum("__n").alias("rows"), F.sum(F.bit_count(BITS)).alias("keys")).first()
+    return words.drop("__n") if found.words <= WORDS and found.rows == found.keys else None
+
+
+def with_values(rows: DataFrame, key: str, table: DataFrame, values: Sequence[str]) -> DataFrame:
+    """rows joined with table, which has the same key, for its values. Where the values have few combinations and the keys are
+    unique, the combinations are numbered, and each bit of a key's number is in a set of its own; the sets are broadcast,
+    with at most WORDS words in all (so 7 million dense keys with 150 combinations are 8 MB), and no row moves. Elsewhere a join."""
+    kinds = table.select(*values).distinct().limit(KINDS + 1).collect()
+    planes = max(1, len(kinds).bit_length())
+    keyed = table.where(F.col(key).isNotNull())
+    words = with_members(keyed, [], key, __n=F.count(F.lit(1)))
+    found = words.agg(F.count(F.lit(1)).alias("words"), F.sum("__n").alias("rows"), F.sum(F.bit_count(BITS)).alias("keys")).first()
+    if not kinds or len(kinds) > KINDS or found.words * planes > WORDS or found.rows != found.keys:
+        return rows.join(table, key)
+    of = [f"__of{i}" for i in range(len(values))]
+    numbered = table.sparkSession.createDataFrame(
+        [(i, *kind) for i, kind in enumerate(kinds, 1)],
+        T.StructType([T.StructField("__code", T.LongType()), *(T.StructField(o, table.schema[v].dataType) for o, v in zip(of, values))]),
+    )
+    same = reduce(Column.__and__, (F.col(v).eqNullSafe(F.col(o)) for v, o in zip(values, of)))
+    coded = keyed.join(F.broadcast(numbered), same).select(word(key).alias("__of"), bit(key).alias("__bit"), "__code")
+    one = F.lit(1).cast("long")
+    sets = coded.groupBy("__of").agg(*(
+        F.coalesce(F.bit_or(F.when(F.shiftright("__code", i).bitwiseAND(one) == 1, F.col("__bit"))), F.lit(0)).cast("long").alias(f"__plane{i}")
+        for i in range(planes)
+    ))
+    code = sum((F.when(F.col(f"__plane{i}").bitwiseAND(bit(key)) != 0, 1 << i).otherwise(0) for i in range(planes)), F.lit(0)).cast("long")
+    marked = rows.join(F.broadcast(sets), word(key) == F.col("__of")).withColumn("__code", code)
+    named = numbered.select("__code", *(F.col(o).alias(v) for o, v in zip(of, values)))
+    return marked.join(F.broadcast(named), "__code").drop("__code", "__of", *(f"__plane{i}" for i in range(planes)))

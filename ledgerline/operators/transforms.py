@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import col, n, pct, ratio, rounded
-from ledgerline.functions.ranking import percentiles, with_percentile_rank
+from ledgerline.functions.ranking import GROUPS, percentiles, with_percentile_rank
 
 # Codes of the raw files and their labels.
 STATUS = {"Existing Customer": "Active", "Attrited Customer": "Churned"}
@@ -87,10 +87,17 @@ def hash_name(key: str | Column, pool: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, pool)), (place % len(pool) + 1).cast("int"))
 
 
-def flag_high_value(transactions: DataFrame, amount: str = "amount", group: str = "merchant_category") -> DataFrame:
+def flag_high_value(
+    transactions: DataFrame, amount: str = "amount", group: str = "merchant_category", priced: DataFrame | None = None
+) -> DataFrame:
     """transactions with is_high_value: amount above the exact third quartile of its group. One row a group is
-    joined back; rows without a group are left out."""
-    p75 = percentiles(transactions, F.col(amount).cast("double"), {"__p75": 0.75}, group)
+    joined back, by broadcast up to GROUPS groups, so that a group's rows stay where they are; rows without a group are
+    left out. priced: the same groups and amounts where they are cheaper to read."""
+    source = transactions if priced is None else priced
+    p75 = percentiles(source, F.col(amount).cast("double"), {"__p75": 0.75}, group)
+    few = p75.limit(GROUPS + 1).collect()
+    if len(few) <= GROUPS:
+        p75 = F.broadcast(p75.sparkSession.createDataFrame(few, p75.schema))
     return (
         transactions.join(p75, group)
         .withColumn("is_high_value", F.col(amount).cast("double") > F.col("__p75"))
