@@ -2,9 +2,10 @@
 
 Every vector is cut into halves, and each half has a codebook of its own; the pairs of codewords are the cells of the
 index. For an anchor, a half's codeword bounds the inner product of all vectors under it: the product with the codeword
-plus the anchor's length times the codeword's radius. A heap visits cells by the sum of the two bounds, highest first.
-It stops once nothing unseen can enter: for positives, when the bound falls below the k-th score; for negatives, when it
-falls below each window's k-th score or lower end. Results are therefore exact, whatever the codebooks.
+plus the anchor's length times the codeword's radius. Each anchor visits cells by the sum of the two bounds, highest first,
+in rounds; a cell is multiplied at once with all anchors that come to it in a round. An anchor stops once nothing unseen can
+enter: for positives, when the bound falls below the k-th score; for negatives, when it falls below each window's k-th score
+or lower end. Results are therefore exact, whatever the codebooks.
 
 Codebooks are fitted on a bounded sample; all vectors are indexed and written with their cells. Shards of bounded size
 are read by one task each, past which the anchors stream, first for positives, then with the windows these define.
@@ -12,7 +13,6 @@ are read by one task each, past which the anchors stream, first for positives, t
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +32,10 @@ SAMPLE, STEPS = 4096, 8
 #: Codewords of a half.
 CODES = 16
 SEED = 29
-#: Vectors that are scored at once, as far as the next cells have them.
+#: Vectors that an anchor scores in its first round, as far as the next cells have them.
 BLOCK = 256
+#: Anchors that visit cells together, and rows of a cell that are multiplied with them at once.
+TOGETHER, PIECE = 256, 2048
 #: A bound is a sum of doubles; by so much it is raised, so that rounding cannot hide a vector.
 SLACK = 1e-6
 #: Sums of products up to here are exact in doubles; beyond, up to 2^63, integers are used.
@@ -90,46 +92,22 @@ class Cells:
         self.order = np.argsort(cell, kind="stable")
         ordered = cell[self.order]
         self.x = x[self.order]
-        self.places = np.unique(ordered)
-        starts = np.searchsorted(ordered, self.places)
-        self.rows = dict(zip(self.places.tolist(), zip(starts.tolist(), np.append(starts[1:], len(x)).tolist())))
+        self.places, self.starts = np.unique(ordered, return_index=True)
+        self.ends = np.append(self.starts[1:], len(x))
         self.halves = []
         for side, book, own in ((slice(0, half), books[0], ordered // codes), (slice(half, None), books[1], ordered % codes)):
-            radius = np.full(len(book), -1.0)
+            radius = np.zeros(len(book))
             apart = np.sqrt(((self.x[:, side] - book[own]) ** 2).sum(axis=1))
             np.maximum.at(radius, own, apart)
-            used = np.flatnonzero(radius >= 0)
-            self.halves.append((side, book[used], radius[used], used))
-        self.codes = codes
-
-    def visit(self, q: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """(bound, rows, scores) of blocks of cells, by falling bound: no row of a later block has a score over bound,
-        which is that of the first cell not yet given out (minus infinity at the end)."""
-        sides = []
-        for side, book, radius, used in self.halves:
-            part = q[side].astype(float)
-            bound = book @ part + np.sqrt((part**2).sum()) * radius
-            by = np.argsort(-bound, kind="stable")
-            sides.append((bound[by].tolist(), used[by].tolist()))
-        (first, first_code), (second, second_code) = sides
-        heap = [(-(first[0] + second[0]), 0, 0)]
-        waiting, n = [], 0
-        while heap:
-            _, i, j = heapq.heappop(heap)
-            # Each pair has one way to be reached: along its row of the first half, rows from the column before.
-            if j + 1 < len(second):
-                heapq.heappush(heap, (-(first[i] + second[j + 1]), i, j + 1))
-            if j == 0 and i + 1 < len(first):
-                heapq.heappush(heap, (-(first[i + 1] + second[0]), i + 1, 0))
-            span = self.rows.get(first_code[i] * self.codes + second_code[j])
-            if span:
-                waiting.append(span)
-                n += span[1] - span[0]
-            if waiting and (n >= BLOCK or not heap):
-                rows = np.concatenate([np.arange(*s) for s in waiting])
-                limit = -heap[0][0] if heap else -np.inf
-                yield limit + SLACK * (1 + abs(limit)) if heap else limit, rows, self.x[rows] @ q
-                waiting, n = [], 0
+            self.halves.append((side, book, radius, own[self.starts]))
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """(queries x cells) what no score of a cell's rows is above: the sum of the bounds of its two codewords."""
+        total = np.zeros((len(q), len(self.places)))
+        for side, book, radius, own in self.halves:
+            part = q[:, side].astype(float)
+            total += (part @ book.T + np.sqrt((part**2).sum(axis=1))[:, None] * radius)[:, own]
+        return total + SLACK * (1 + np.abs(total))
 
 
 def exact_type(x: np.ndarray, q: np.ndarray) -> type:
@@ -140,42 +118,94 @@ def exact_type(x: np.ndarray, q: np.ndarray) -> type:
     return np.float64 if most < EXACT else np.int64
 
 
+def _offers(scores: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, none: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, row) in scores of those in a query's window that can be among its depth best; low is raised to the
+    depth-th best score here."""
+    inside = (scores >= low[:, None]) & (scores <= high[:, None])
+    many = np.flatnonzero(inside.sum(axis=1) > depth)
+    if len(many):
+        kept = np.where(inside[many], scores[many], none)
+        low[many] = np.partition(kept, kept.shape[1] - depth, axis=1)[:, -depth]
+        inside[many] &= scores[many] >= low[many, None]
+    return np.nonzero(inside)
+
+
+def best_in(
+    cells: Cells, ids: list[list[int]], q: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, k: int,
+    labels: tuple[np.ndarray, np.ndarray] | None = None,
+) -> tuple[list[list[list[tuple[int, int]]]], np.ndarray]:
+    """For each query and each of its windows (low to high) the k best (score, id) with another id than its own, smaller ids
+    first among equal scores, and how many rows each query scored. labels, of vectors and of queries: rows of a query's
+    label take no part.
+
+    Each query visits cells by falling bound until no window can gain; a cell is multiplied at once with all queries that
+    come to it in a round, and a round takes twice as many rows a query as the one before. Of a window's rows depth stay:
+    an id is in at most common rows, so these have k ids but the query's own that are as good as any in the rows left out.
+    """
+    common = int(np.unique(np.concatenate([np.asarray(i) for i in ids]), return_counts=True)[1].max())
+    depth = (k + 1) * common
+    least = np.array([i[0] for i in ids])[cells.order]
+    none = -np.inf if cells.x.dtype.kind == "f" else np.iinfo(np.int64).min
+    sizes, windows = cells.ends - cells.starts, low.shape[1]
+    found, seen = [[[] for _ in range(windows)] for _ in range(len(q))], np.zeros(len(q), np.int64)
+    for first in range(0, len(q), TOGETHER):
+        part = slice(first, first + TOGETHER)
+        asked, floor, top, mine = q[part], low[part].astype(q.dtype), high[part].astype(q.dtype), own[part]
+        bound = cells.bounds(asked)
+        by = np.argsort(-bound, axis=1, kind="stable")
+        # After so many cells: what the others' rows can score at most, and how many rows came.
+        limit = np.append(np.take_along_axis(bound, by, axis=1), np.full((len(asked), 1), -np.inf), axis=1)
+        passed = np.append(np.zeros((len(asked), 1), np.int64), np.cumsum(sizes[by], axis=1), axis=1)
+        done, open_, block = np.zeros(len(asked), np.int64), floor <= top, BLOCK
+        hits = [np.zeros(0, np.int64), np.zeros(0, asked.dtype), np.zeros(0, np.int64)]
+        while (active := np.flatnonzero(open_.any(axis=1) & (done < len(sizes)))).size:
+            goal = passed[active, done[active]] + block
+            ends = np.minimum((passed[active] < goal[:, None]).sum(axis=1), len(sizes))
+            turn = np.arange(len(sizes))
+            at, turn = np.nonzero((turn >= done[active, None]) & (turn < ends[:, None]))
+            which = by[active[at], turn]
+            order = np.argsort(which, kind="stable")
+            new = [hits]
+            for pairs in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
+                c, asks = which[pairs[0]], active[at[pairs]]
+                for start in range(cells.starts[c], cells.ends[c], PIECE):
+                    rows = slice(start, min(start + PIECE, cells.ends[c]))
+                    scores = asked[asks] @ cells.x[rows].T
+                    if labels:
+                        scores[labels[1][part][asks, None] == labels[0][cells.order[rows]]] = none
+                    for w in np.flatnonzero(open_[asks].any(axis=0)):
+                        edge = floor[asks, w]
+                        i, j = _offers(scores, edge, np.where(open_[asks, w], top[asks, w], none), depth, none)
+                        floor[asks, w] = edge
+                        new.append([asks[i] * windows + w, scores[i, j], start + j])
+            slot, score, row = (np.concatenate([n[i] for n in new]) for i in range(3))
+            order = np.lexsort((least[row], -score, slot))
+            slot, score, row = slot[order], score[order], row[order]
+            rank = np.arange(len(slot)) - np.searchsorted(slot, slot)
+            full = rank == depth - 1
+            at = slot[full] // windows, slot[full] % windows
+            floor[at] = np.maximum(floor[at], score[full])
+            hits = [x[rank < depth] for x in (slot, score, row)]
+            done[active] = ends
+            open_ &= limit[np.arange(len(asked)), done][:, None] >= floor
+            block *= 2
+        seen[part] = passed[np.arange(len(asked)), done]
+        for slot, score, row in zip(*(x.tolist() for x in hits)):
+            a = slot // windows
+            found[first + a][slot % windows] += [(int(score), i) for i in ids[cells.order[row]] if i != mine[a]]
+    return [[sorted(set(f), key=lambda f: (-f[0], f[1]))[:k] for f in w] for w in found], seen
+
+
 def best_positives(cells: Cells, ids: list[list[int]], q: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
-    """The k best (score, id) but own, smaller ids first among equal scores, and how many rows were scored."""
-    found, seen = [], 0
-    for bound, rows, scores in cells.visit(q):
-        seen += len(rows)
-        least = found[k - 1][0] if len(found) >= k else -np.inf
-        for r in np.flatnonzero(scores >= least):
-            found += [(int(scores[r]), i) for i in ids[cells.order[rows[r]]] if i != own]
-        found = sorted(set(found), key=lambda f: (-f[0], f[1]))[:k]
-        if len(found) >= k and bound < found[-1][0]:
-            break
-    return found, seen
-
-
-def best_negatives(
-    cells: Cells, ids: list[list[int]], foreign: np.ndarray, q: np.ndarray, positives: list[int], k: int
-) -> tuple[dict[int, list[tuple[int, int]]], int]:
-    """For each positive score p the k best (score, id) of foreign rows with 50 p <= 100 score <= 95 p, and how many rows
-    were scored."""
-    found: dict[int, list[tuple[int, int]]] = {p: [] for p in positives}
-    open_, seen = {p for p in positives if p >= 0}, 0
-    for bound, rows, scores in cells.visit(q) if open_ else ():
-        seen += len(rows)
-        usable = foreign[cells.order[rows]]
-        rows, scores = rows[usable], scores[usable]
-        for p in list(open_):
-            least = found[p][k - 1][0] if len(found[p]) >= k else -np.inf
-            hits = np.flatnonzero((scores >= -(-p // 2)) & (scores <= 19 * p // 20) & (scores >= least))
-            if len(hits):
-                new = [(int(scores[r]), i) for r in hits for i in ids[cells.order[rows[r]]]]
-                found[p] = sorted({*found[p], *new}, key=lambda f: (-f[0], f[1]))[:k]
-            if 2 * bound < p or (len(found[p]) >= k and bound < found[p][-1][0]):
-                open_.remove(p)
-        if not open_:
-            break
-    return found, seen
+    """best_in for one query without a window."""
+    found, seen = best_in(cells, ids, q[None], np.array([own]), *everything(1, q.dtype), k)
+    return found[0][0], int(seen[0])
+
+
+def everything(n: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of n queries that all scores are in."""
+    edge = np.finfo(kind) if np.dtype(kind).kind == "f" else np.iinfo(kind)
+    return np.full((n, 1), edge.min + (edge.dtype.kind == "i"), kind), np.full((n, 1), edge.max, kind)
 
 
 def entries_of(vectors: DataFrame, id_col: str, embedding_col: str, label_col: str) -> DataFrame:
@@ -252,16 +282,16 @@ def _search(index: DataFrame, anchors: DataFrame, shards: int, books: Codebooks,
 def _positives_in(k: int):
     def search(x, cell, label, ids, books, part):
         asked, queries = part["label"].to_numpy(), vectors_of(part["v"])
-        keys, own = part["key"].to_pylist(), part["id"].to_pylist()
+        keys, own = part["key"].to_pylist(), part["id"].to_numpy()
         out, kind = [], exact_type(x, queries)
         for value in np.unique(asked):
             rows = np.flatnonzero(label == value)
             if not len(rows):
                 continue
-            cells, mine = Cells(x[rows].astype(kind), cell[rows], books), [ids[r] for r in rows]
-            for a in np.flatnonzero(asked == value):
-                best, seen = best_positives(cells, mine, queries[a].astype(kind), own[a], k)
-                out += [(keys[a], score, i, seen) for score, i in best]
+            cells, mine, asks = Cells(x[rows].astype(kind), cell[rows], books), [ids[r] for r in rows], np.flatnonzero(asked == value)
+            best, seen = best_in(cells, mine, queries[asks].astype(kind), own[asks], *everything(len(asks), np.dtype(kind)), k)
+            for a, windows, n in zip(asks, best, seen.tolist()):
+                out += [(keys[a], score, i, n) for score, i in windows[0]]
         names = ("key", "score", "id", "seen")
         yield pa.RecordBatch.from_pydict({c: pa.array([o[i] for o in out], pa.string() if i == 0 else pa.int64()) for i, c in enumerate(names)})
 
@@ -271,13 +301,19 @@ def _positives_in(k: int):
 def _negatives_in(k: int):
     def search(x, cell, label, ids, books, part):
         asked, queries = part["label"].to_numpy(), vectors_of(part["v"])
-        keys, windows = part["key"].to_pylist(), part["positives"].to_pylist()
+        keys, positives = part["key"].to_pylist(), part["positives"].to_pylist()
         kind = exact_type(x, queries)
-        cells, foreign = Cells(x.astype(kind), cell, books), {value: label != value for value in np.unique(asked)}
+        # As many windows for all; those that an anchor lacks are empty, as are those of scores below zero.
+        width = max(map(len, positives))
+        low, high = np.ones((len(keys), width), np.int64), np.zeros((len(keys), width), np.int64)
+        for a, scores in enumerate(positives):
+            low[a, : len(scores)], high[a, : len(scores)] = [-(-p // 2) for p in scores], [19 * p // 20 for p in scores]
+        best, seen = best_in(
+            Cells(x.astype(kind), cell, books), ids, queries.astype(kind), part["id"].to_numpy(), low, high, k, (label, asked)
+        )
         out = []
-        for a in range(len(keys)):
-            best, seen = best_negatives(cells, ids, foreign[asked[a]], queries[a].astype(kind), windows[a], k)
-            out += [(keys[a], p, score, i, seen) for p, found in best.items() for score, i in found]
+        for a, (found, n) in enumerate(zip(best, seen.tolist())):
+            out += [(keys[a], p, score, i, n) for p, window in zip(positives[a], found) for score, i in window]
         names = ("key", "positive_score", "score", "id", "seen")
         yield pa.RecordBatch.from_pydict({c: pa.array([o[i] for o in out], pa.string() if i == 0 else pa.int64()) for i, c in enumerate(names)})
 
