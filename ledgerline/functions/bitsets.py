@@ -70,16 +70,32 @@ def with_lost(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFram
     return joined.withColumn(name, F.col(key).isNotNull() & ~there).drop("__of", "__has")
 
 
+def few_values(df: DataFrame, c: str, most: int = 64) -> list | None:
+    """The values of c but null, in order, if they are at most so many; else None."""
+    values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().limit(most + 1).collect()]
+    return sorted(values) if len(values) <= most else None
+
+
+def value_bit(values: list, c: str) -> Column:
+    """The bit in a long of c's place in values, of which there are at most 64; null for others."""
+    one = F.lit(None).cast("long")
+    for i, v in enumerate(values):
+        one = F.when(F.col(c) == F.lit(v), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(one)
+    return one
+
+
+def bits_set(bits: Column) -> Column:
+    """How many bits are set, 0 for null."""
+    return F.coalesce(F.bit_count(bits).cast("long"), F.lit(0).cast("long"))
+
+
 def few_distinct(df: DataFrame, c: str, condition: Column) -> Column:
     """An aggregate: the number of distinct values of c where condition holds. Up to 64 values that df has are bits of one long,
     so rows merge before they move; beyond that each value of a group moves."""
-    values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().limit(65).collect()]
-    if len(values) > 64:
+    values = few_values(df, c)
+    if values is None:
         return F.count_distinct(F.when(condition, F.col(c)))
-    one = F.lit(None).cast("long")
-    for i, v in enumerate(sorted(values)):
-        one = F.when(F.col(c) == F.lit(v), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(one)
-    return F.coalesce(F.bit_count(F.bit_or(F.when(condition, one))).cast("long"), F.lit(0).cast("long"))
+    return bits_set(F.bit_or(F.when(condition, value_bit(values, c))))
 
 
 def unique_key_set(df: DataFrame, key: str) -> DataFrame | None:
