@@ -36,6 +36,7 @@ def derived(monkeypatch):
 
 @pytest.mark.parametrize("name, tables", [
     ("bi_csat_vs_resolution", {"dim_date", "fact_service_logs"}),
+    ("bi_roi_by_type", {"dim_campaign", "fact_campaign_responses"}),
     ("txn_high_value", {"fact_transactions"}),
     ("txn_holiday", {"dim_date", "fact_transactions"}),
 ])
