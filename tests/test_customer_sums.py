@@ -84,7 +84,7 @@ def test_brute_force(spark, folder):
         assert r.preferred_channel == (first(channels[r.customer_id]) if r.customer_id in channels else None)
 
 
-@pytest.mark.parametrize("name", ["risk_category", "cust_by_channel", "dq_range_age"])
+@pytest.mark.parametrize("name", ["risk_category", "cust_by_channel", "dq_range_age", "bv_campaign2_targeting"])
 def test_customers_need_no_transactions(spark, folder, monkeypatch, name):
     if folder.endswith("many0"):
         pytest.skip("many categories are counted from transactions")
