@@ -81,3 +81,10 @@ def test_a_failure_is_tried_again():
     with pytest.raises(ValueError):
         later()
     assert later() == later() == 7 and len(calls) == 2
+
+
+def test_transactions_come_before_customers(spark, folder, derived):
+    """Customers read the stored transactions then, and no order line a second time."""
+    assert QUERIES["bv_tables_ready"](spark, folder).count() == 5
+    assert derived.index("fact_transactions") < derived.index("dim_customer")
+    warehouse.forget(spark, folder)
