@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import labels
-from ledgerline.functions.columns import avg, banded, growth, mean, n, pct, ratio, rounded, share_of_total, tile_label, total
+from ledgerline.functions.columns import avg, banded, growth, n, pct, ratio, rounded, share_of_total, tile_label, total
 from ledgerline.functions.ranking import percentiles
 from ledgerline.functions.tiles import with_tiles
 from ledgerline.plans.registry import query
@@ -21,6 +21,15 @@ def customers() -> F.Column:
     return F.count_distinct("customer_id").alias("customers")
 
 
+def with_volume(rows: DataFrame, *keys: str, digits: int = 2) -> DataFrame:
+    """By keys: transactions, volume, avg_value, customers and exact (the amount), without moving a row for each customer."""
+    exact = F.col("exact")
+    return with_customers(rows, *keys).select(
+        *keys, "transactions", rounded(exact.cast("double"), 0).alias("volume"), rounded(ratio(exact, F.col("valued")), digits).alias("avg_value"),
+        "customers", "exact",
+    )
+
+
 @query
 def txn_overview(s: Star) -> DataFrame:
     high = F.count_if("is_high_value")
@@ -72,8 +81,8 @@ def txn_by_weekday(s: Star) -> DataFrame:
 
 @query
 def txn_weekend(s: Star) -> DataFrame:
-    day = F.when(F.col("is_weekend"), "Weekend").otherwise("Weekday").alias("day_type")
-    found = dated(s, "is_weekend").groupBy(day).agg(*volume(customers(), F.sum("amount").alias("exact")))
+    day = F.when(F.col("is_weekend"), "Weekend").otherwise("Weekday")
+    found = with_volume(dated(s, "is_weekend").withColumn("day_type", day), "day_type")
     return share_of_total(found, "exact", "share_pct").drop("exact")
 
 
@@ -83,7 +92,7 @@ def txn_holiday(s: Star) -> DataFrame:
         F.when(F.col("holiday_name") == "Diwali Season", "Diwali Season").when(F.col("is_holiday"), "Other Holiday")
         .otherwise("Regular Day")
     )
-    return dated(s, "holiday_name", "is_holiday").groupBy(period.alias("period")).agg(*volume(customers()))
+    return with_volume(dated(s, "holiday_name", "is_holiday").withColumn("period", period), "period").drop("exact")
 
 
 @query
@@ -108,7 +117,5 @@ def txn_first_last(s: Star) -> DataFrame:
 
 @query
 def txn_high_value(s: Star) -> DataFrame:
-    found = s.fact_transactions.where("is_high_value").groupBy("merchant_category").agg(
-        n().alias("transactions"), total("amount", 0).alias("volume"), rounded(mean("amount"), 0).alias("avg_value"), customers()
-    )
+    found = with_volume(s.fact_transactions.where("is_high_value"), "merchant_category", digits=0).drop("exact")
     return share_of_total(found, "transactions", "share_pct")
